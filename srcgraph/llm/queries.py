@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, warc
+from . import exact_dedup, language, mixing, packing, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1,
+        "op2_secret_scan": secrets.op2,
         "op3_exact_dedup": exact_dedup.op3,
+        "op4_language": language.op4,
         "op5_sharding": sharding.op5,
+        "op6_toxicity": toxicity.op6,
         "op9_warc": warc.op9,
         "op10_mixing": mixing.op10,
     }
