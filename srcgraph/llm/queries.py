@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, packing, secrets, sharding, toxicity, warc
+from . import exact_dedup, language, minhash, mixing, packing, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,10 +13,11 @@ def queries() -> dict:
         "op4_language": language.op4,
         "op5_sharding": sharding.op5,
         "op6_toxicity": toxicity.op6,
+        "op8_minhash_near_dedup": minhash.op8,
         "op9_warc": warc.op9,
         "op10_mixing": mixing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op8_minhash_near_dedup": minhash.OP8_SQL, "op9_warc": warc.OP9_SQL}
