@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, minhash, mixing, packing, secrets, sharding, toxicity, warc
+from . import embedding, exact_dedup, language, minhash, mixing, packing, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_language": language.op4,
         "op5_sharding": sharding.op5,
         "op6_toxicity": toxicity.op6,
+        "op7_embedding_near_dedup": embedding.op7,
         "op8_minhash_near_dedup": minhash.op8,
         "op9_warc": warc.op9,
         "op10_mixing": mixing.op10,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op8_minhash_near_dedup": minhash.OP8_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op7_embedding_near_dedup": embedding.OP7_SQL, "op8_minhash_near_dedup": minhash.OP8_SQL, "op9_warc": warc.OP9_SQL}
