@@ -37,6 +37,11 @@ def blank_to_null(x) -> Column:
     return F.nullif(_c(x), F.lit(""))
 
 
+def strip(x) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+
+
 def after_last(x, mark: str = ".") -> Column:
     """Text after the last mark; all of it when there is none."""
     return F.substring_index(_c(x), mark, -1)
@@ -45,13 +50,13 @@ def after_last(x, mark: str = ".") -> Column:
 def callee(expr) -> Column:
     """Who a call is made on: null for a call on the object itself. Of a chain, the first link counts."""
     head = F.regexp_replace(F.substring_index(_c(expr), "(", 1), r"^this\.", "")
-    return F.when(F.instr(head, ".") > 0, F.trim(F.regexp_replace(head, r"(?s)\.[^.]*$", "")))
+    return F.when(F.instr(head, ".") > 0, strip(F.regexp_replace(head, r"(?s)\.[^.]*$", "")))
 
 
 def called_method(expr) -> Column:
     """Name of the method that a call names first."""
     head = F.regexp_replace(F.substring_index(_c(expr), "(", 1), r"^this\.", "")
-    return F.trim(after_last(head))
+    return strip(after_last(head))
 
 
 def starts_upper(x) -> Column:

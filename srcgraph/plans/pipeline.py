@@ -30,3 +30,41 @@ def decisions_of(nodes: DataFrame, annotations: DataFrame, **policies: str) -> D
 
 def scorecard_of(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
     return quality.graph_scorecard(nodes, edges, **options)
+
+
+def run(spark, spec: str, out: str, name: str | None = None, force: bool = False, evaluate: bool = False, model=None, settings=None) -> dict:
+    """From a folder, archive or repository to graph.json, its tables and manifest; returns the manifest's parts.
+
+    With a ``model`` the classes are annotated as well, and with ``evaluate`` the graph is scored.
+    """
+    from pathlib import Path
+
+    from srcgraph.functions.keys import run_id
+    from srcgraph.operators import annotate, java_scan
+    from srcgraph.sources import acquire, discover, sinks
+
+    folder = sinks.prepare(out, force)
+    with acquire.folder_of(spec) as root:
+        corpus = name or Path(spec).stem
+        modules = discover.modules(acquire.all_paths(spark, root), corpus)
+        ignore = Path(root) / ".gitignore"
+        files = discover.source_files(acquire.local_files(spark, root), modules, ignore.read_text().splitlines() if ignore.exists() else [])
+        parsed = java_scan.extract(files)
+        # everything after reads what is written here, not the tree, which may be temporary
+        parsed.write.mode("overwrite").parquet(f"{folder}/parsed")
+        files.write.mode("overwrite").parquet(f"{folder}/files")
+    parsed = spark.read.parquet(f"{folder}/parsed")
+    nodes, edges = graph_of(parsed)
+    sinks.write_tables(nodes, edges, f"{folder}/tables")
+    nodes, edges = (spark.read.schema(df.schema).parquet(f"{folder}/tables/{name}") for name, df in (("nodes", nodes), ("edges", edges)))
+    parts = {"run_id": run_id(), "acquisition_source": spec, "corpus_id": corpus, "ast_only": model is None, "artefacts": {"graph": sinks.write_graph(nodes, edges, str(folder))}}
+    if model is not None:
+        concurrency = settings.max_concurrent if settings else 5
+        records = annotate.annotate(nodes, spark.read.parquet(f"{folder}/files"), model, concurrency=concurrency)
+        sinks.write_json(records, f"{folder}/annotations")
+        parts["artefacts"]["annotations"] = {"path": f"{folder}/annotations", "schema_version": "1.0.0"}
+    if evaluate:
+        checks = scorecard_of(nodes, edges, digest=parts["artefacts"]["graph"]["sha256"])
+        parts["evals"] = {"graph": sinks.write_scorecard(checks, str(folder), "graph", corpus)}
+    sinks.write_manifest(str(folder), **parts)
+    return parts
