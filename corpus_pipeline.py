@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.llm._spark import cut, fresh_dir
+from srcgraph.llm._text import chunks
 from srcgraph.llm.exact_dedup import exact_dedup, normal_digest
 from srcgraph.llm.language import LanguageModel, fit_language
 from srcgraph.llm.minhash import near_dedup
@@ -19,6 +20,8 @@ from srcgraph.llm.packing import pack_documents
 
 #: Up to so many decisions (some 50 bytes each) are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Text bytes that Python workers hand back at once.
+SLICE_BYTES = 4 << 20
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
@@ -35,8 +38,10 @@ def _sized(table: DataFrame) -> DataFrame:
 def _known(model: LanguageModel, at: int):
     def run(batches):
         for batch in batches:
-            best, _ = model.predict(batch.column(at))
-            yield batch.filter(pa.array(best >= 0))
+            for i, j, _, _ in chunks(batch.column(at), SLICE_BYTES):
+                part = batch.slice(i, j - i)
+                best, _ = model.predict(part.column(at))
+                yield part.filter(pa.array(best >= 0))
 
     return run
 

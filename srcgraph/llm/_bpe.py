@@ -39,7 +39,7 @@ def _merge_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """ids(): the ids of many texts. Pieces are cached by a 64-bit hash up to ``cached`` pieces, then afresh."""
 
-    def __init__(self, path: str, cached: int = 2_000_000):
+    def __init__(self, path: str, cached: int = 500_000):
         ranks = _merge_ranks(path)
         core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.merge = core.encode_single_piece

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+#: Bytes and rows that are worked on at once; they bound the arrays made of them.
+CHUNK, ROWS = 1 << 19, 1024
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _rng = np.random.default_rng(20240229)
@@ -49,13 +50,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), off
 
 
-def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows with about ``limit`` bytes; a longer row is alone."""
+def chunks(column: pa.Array, limit: int = CHUNK, rows: int = ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of up to ``rows`` rows and ``limit`` bytes; a longer row is alone."""
     data, off = buffers(column)
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

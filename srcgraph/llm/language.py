@@ -16,6 +16,8 @@ SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 600, 1000
 #: Hashed n-gram presence slots of length 1, 2 and 3 bytes.
 SIZES = (256, 4096, 12288)
 LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS = 32, 512
+#: Rows scored by one matrix product.
+PRODUCT_ROWS = 256
 RIDGE = 1e-2
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -81,9 +83,9 @@ class LanguageModel:
         rng, label = np.random.default_rng(seed), np.array([languages.index(x) for x in langs])
         each = max(1, min(LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS // len(languages)))
         chosen = np.concatenate([rng.permutation(np.flatnonzero(label == k))[:each] for k in range(len(languages))])
-        rows = lambda ts: np.concatenate([presence(d, o) for _, _, d, o in chunks(pa.array(ts, pa.large_string()))])
+        rows = lambda ts: np.concatenate([presence(d, o) for _, _, d, o in chunks(pa.array(ts, pa.large_string()), rows=PRODUCT_ROWS)])
         landmarks = rows([texts[k] for k in chosen])
-        kernel = np.concatenate([presence(d, o) @ landmarks.T for _, _, d, o in chunks(pa.array(texts, pa.large_string()))]).astype(float)
+        kernel = np.concatenate([presence(d, o) @ landmarks.T for _, _, d, o in chunks(pa.array(texts, pa.large_string()), rows=PRODUCT_ROWS)]).astype(float)
         value, vector = np.linalg.eigh((landmarks @ landmarks.T).astype(float))
         good = value > 1e-6 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
@@ -110,7 +112,7 @@ class LanguageModel:
         best, score, letters = np.full(n, -1), np.zeros(n), has_letter(column)
         if not self.languages:
             return best, score
-        for i, j, data, off in chunks(column):
+        for i, j, data, off in chunks(column, rows=PRODUCT_ROWS):
             z = (presence(data, off) @ self.landmarks.T @ self.weights + self.bias) * self.slope
             z = np.exp((z - z.max(axis=1, keepdims=True)).astype(float))
             best[i:j] = z.argmax(axis=1)
