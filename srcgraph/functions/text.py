@@ -83,8 +83,8 @@ def group_after(package, prefix_length) -> Column:
 
 
 def kebab(name) -> Column:
-    parts = F.regexp_replace(_c(name), "([a-z0-9])([A-Z])", "$1-$2")
-    return F.lower(F.regexp_replace(parts, "([A-Z]+)([A-Z][a-z])", "$1-$2"))
+    parts = F.regexp_replace(_c(name), "(?<=[0-9a-z])(?=[A-Z])", "-")
+    return F.lower(F.regexp_replace(parts, "(?<=[A-Z])(?=[A-Z][a-z])", "-"))
 
 
 def pascal(name) -> Column:
@@ -92,7 +92,7 @@ def pascal(name) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substr(x, F.lit(2))))), "")
 
 
-_SUFFIX = {"RestController": ".controller.ts", "Controller": ".controller.ts", "Service": ".service.ts", "Repository": ".repository.ts", "Entity": ".entity.ts", "ControllerAdvice": ".filter.ts"}
+_SUFFIX = {k: f".{v}.ts" for k, v in (("Controller", "controller"), ("ControllerAdvice", "filter"), ("Entity", "entity"), ("Repository", "repository"), ("RestController", "controller"), ("Service", "service"))}
 
 
 def role_suffix(stereotype) -> Column:
@@ -149,10 +149,11 @@ def log_area(context, logger) -> Column:
     return F.coalesce(F.try_element_at(_c(context), F.lit("area")), after_last(logger))
 
 
-_HOSTS = {
-    "api.deepseek.com": "deepseek", "api.minimax.chat": "minimax", "api.minimaxi.com": "minimax", "api.moonshot.cn": "moonshot", "open.bigmodel.cn": "z.ai",
-    "api.mistral.ai": "mistral", "api.openai.com": "openai", "api.anthropic.com": "anthropic", "generativelanguage.googleapis.com": "google", "openrouter.ai": "openrouter",
+_LABELS = {
+    "anthropic": ["api.anthropic.com"], "deepseek": ["api.deepseek.com"], "google": ["generativelanguage.googleapis.com"], "minimax": ["api.minimax.chat", "api.minimaxi.com"], "mistral": ["api.mistral.ai"],
+    "moonshot": ["api.moonshot.cn"], "openai": ["api.openai.com"], "openrouter": ["openrouter.ai"], "z.ai": ["open.bigmodel.cn"],
 }
+_HOSTS = {host: label for label, hosts in _LABELS.items() for host in hosts}
 
 
 def provider_label(explicit, url, hosts: dict[str, str] | None = None) -> Column:

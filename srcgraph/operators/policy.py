@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SECURITY = ["PreAuthorize", "PostAuthorize", "Secured", "RolesAllowed", "PreFilter", "PostFilter", "EnableWebSecurity", "EnableMethodSecurity", "WithMockUser"]
+SECURITY = "EnableMethodSecurity EnableWebSecurity PostAuthorize PostFilter PreAuthorize PreFilter RolesAllowed Secured WithMockUser".split()
 
 
 def security_hits(annotations) -> Column:

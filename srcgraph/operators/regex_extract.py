@@ -13,15 +13,15 @@ from srcgraph.functions.text import blank_to_null, first_in
 from srcgraph.schemas import PARSED_FIELDS, STEREOTYPES
 
 _FLAGS = "(?mdU)"
-PACKAGE = _FLAGS + r"^\s*package\s+([\w.]+)\s*;"
-IMPORT = _FLAGS + r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"
+PACKAGE = _FLAGS + r"^\s*package\s+(\w[.\w]*)\s*;"
+IMPORT = _FLAGS + r"^\s*import(?:\s+static)?\s+([*.\w]+)\s*;"
 TAG = r"(?U)@(\w+)"
 TYPE = _FLAGS + r"(?<![^\s])(?:(?:sealed|static|final|abstract|private|protected|public)\s+)*(record|enum|class|@?interface)\s+(\w+)"
-_MEMBER = _FLAGS + r"^\s{4,}(?:(?:%s)\s+)%s(\w[\w<>\[\]]*)\s+(\w+)\s*%s"
+_MEMBER = _FLAGS + r"^\s{4,}(?:(?:%s)\s+)%s(\w[<>\[\]\w]*)\s+(\w+)\s*%s"
 FIELD = _MEMBER % ("transient|volatile|final|static|protected|private|public", "+", r"(?:[=;,]|//)")
 METHOD = _MEMBER % ("default|native|synchronized|abstract|final|static|private|protected|public", "*", r"\(")
-SIGNATURE = r"(?U)(?:native|synchronized|abstract|final|static|protected|private|public)\s+[\w<>,?\[\] ]+\s+\w+\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*[{;]"
-NOISE = ["if", "while", "for", "switch", "catch", "return", "new", "else", "try", "throw", "assert", "do", "case", "default"]
+SIGNATURE = r"(?U)(?:native|synchronized|abstract|final|static|protected|private|public)\s+[ ,?<>\[\]\w]+\s+\w+\s*[(](?:[^)])*[)](?:\s*throws\s+[,\s\w]+)?\s*[;{]"
+NOISE = "assert case catch default do else for if new return switch throw try while".split()
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:

@@ -68,18 +68,19 @@ MODIFIERS = {
     "method": [*_ACCESS, "abstract", "default", "final", "static", "synchronized", "native"],
     "field": [*_ACCESS, "final", "static", "transient", "volatile"],
 }
-STEREOTYPES = ["Component", "Service", "Repository", "Controller", "RestController", "Configuration", "ControllerAdvice", "Entity", "SpringBootApplication"]
+STEREOTYPES = "Component Configuration Controller ControllerAdvice Entity Repository RestController Service SpringBootApplication".split()
 GENERATIONS = ["AUTO", "IDENTITY", "SEQUENCE", "TABLE", "UUID"]
 INJECTIONS = ["field", "constructor", "setter"]
 HTTP_METHODS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
 BINDINGS = ["path", "query", "body", "header", "request_param", "model_attribute"]
-CONSTRAINTS = ["NotNull", "NotBlank", "NotEmpty", "Size", "Min", "Max", "Email", "Pattern"]
+CONSTRAINTS = "Email Max Min NotBlank NotEmpty NotNull Pattern Size".split()
 CARDINALITY = {"OneToOne": "ONE_TO_ONE", "OneToMany": "ONE_TO_MANY", "ManyToOne": "MANY_TO_ONE", "ManyToMany": "MANY_TO_MANY"}
 #: Types that say nothing about coupling.
 UNCOUPLED = set("""
-void int long double float boolean char byte short String Object Integer Long Double Float Boolean Character Byte
-Short Number List Set Map Collection Iterable Optional ArrayList LinkedList HashMap HashSet LinkedHashMap Stream
-Function Consumer Supplier Predicate BiFunction Class Enum Record Comparable Cloneable var
+ArrayList BiFunction boolean Boolean byte Byte char Character Class Cloneable Collection
+Comparable Consumer double Double Enum float Float Function HashMap HashSet int
+Integer Iterable LinkedHashMap LinkedList List long Long Map Number Object Optional
+Predicate Record Set short Short Stream String Supplier var void
 """.split())
 
 TELEMETRY_DDL = "run_id STRING, ts STRING, trace_id STRING, pipeline_name STRING, pipeline_run_id STRING, corpus_id STRING, provider STRING, model STRING, override_model STRING, tier STRING, purpose STRING, prompt_id STRING, prompt_version STRING, prompt_content_hash STRING, input_hash STRING, output_hash STRING, input_tokens BIGINT, output_tokens BIGINT, cached_tokens BIGINT, input_estimated BIGINT, cache_hit BOOLEAN, status STRING, error_class STRING, error_message STRING, total_latency_ms BIGINT, attempts ARRAY<STRUCT<attempt: INT, latency_ms: INT, status: STRING, error_class: STRING>>, cost_usd_est DOUBLE, schema_version STRING"

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULTS = ["target/", "build/", "out/", ".idea/", ".vscode/", "*.iml", ".git/", "**/generated-sources/", "**/generated-test-sources/", "__pycache__/", "*.py[cod]", ".venv/", "venv/"]
+DEFAULTS = "*.iml *.py[cod] **/generated-sources/ **/generated-test-sources/ .git/ .idea/ .venv/ .vscode/ __pycache__/ build/ out/ target/ venv/".split()
 
 
 def pattern_regex(pattern: str) -> tuple[str, bool] | None:
