@@ -17,7 +17,7 @@ COSINE = 0.93
 SHARD, OVERLAP, MOST_CLUSTERS = 2500, 3, 4096
 #: Vectors that the clusters are fitted on.
 SAMPLE = 50_000
-DEGREE, POOL, ALPHA, BEAM = 24, 48, 1.2, 48
+DEGREE, POOL, ALPHA, BEAM = 16, 32, 1.2, 24
 #: Queries that the recall is audited with, the recall that is asked for, and rounds with a doubled beam.
 AUDIT, RECALL, ROUNDS = 1000, 0.98, 3
 _SLACK = 0.06
@@ -58,8 +58,8 @@ def fit_clusters(classes: DataFrame, seed: int = 5) -> dict[tuple[int, int], np.
     total = sum(r.n for r in sizes)
     if not total:
         return {}
-    scale = min(1.0, MOST_CLUSTERS * SHARD / total)
-    wanted = {(r.label, r.dim): max(1, round(2 * r.n * scale / SHARD)) for r in sizes}
+    scale = min(1.0, MOST_CLUSTERS * SHARD / (1.25 * OVERLAP * total))
+    wanted = {(r.label, r.dim): max(1, round(1.25 * OVERLAP * r.n * scale / SHARD)) for r in sizes}
     drawn = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) < min(1.0, SAMPLE / total) * (1 << 30)
     table = classes.where(drawn).limit(2 * SAMPLE).select("label", "dim", "rep", "e").toPandas().sort_values("rep")
     out, rng = {}, np.random.default_rng(seed)
@@ -86,10 +86,10 @@ def _assign(centres: dict[tuple[int, int], np.ndarray], overlap: int):
             for group, own in pdf.groupby(["label", "dim"]):
                 c = centres.get((int(group[0]), int(group[1])))
                 if c is None:
-                    parts.append(own.assign(cluster=0))
+                    parts.append(own.assign(cluster=0, rank=0))
                     continue
                 near = np.argsort(-(unit(_stack(own["e"])).astype(np.float32) @ c.T), axis=1, kind="stable")[:, :overlap]
-                parts += [own.assign(cluster=near[:, k].astype(np.int32)) for k in range(near.shape[1])]
+                parts += [own.assign(cluster=near[:, k].astype(np.int32), rank=k) for k in range(near.shape[1])]
             if parts:
                 yield pd.concat(parts)
 
@@ -114,23 +114,24 @@ def robust_graph(x: np.ndarray, seed: int = 3) -> np.ndarray:
         pool[a : a + 512, :near] = np.argpartition(-s, near - 1, axis=1)[:, :near]
     own = np.arange(n)
     pool[:, near:] = (own[:, None] + np.random.default_rng(seed).integers(1, n, (n, some))) % n
-    far = lambda p, q: np.maximum(2 - 2 * np.einsum("nd,nkd->nk", x[p], x[q]), 0)
-    away = np.concatenate([far(own[a : a + 512], pool[a : a + 512]) for a in range(0, n, 512)])
-    order = np.argsort(away, axis=1, kind="stable")
-    pool, away = np.take_along_axis(pool, order, 1), np.take_along_axis(away, order, 1)
-    alive, kept = np.ones(pool.shape, bool), np.full((n, DEGREE), -1, np.int32)
-    for r in range(DEGREE):
-        first = alive.argmax(axis=1)
-        live = np.flatnonzero(alive[own, first])
-        if not len(live):
-            break
-        chosen = pool[live, first[live]]
-        kept[live, r] = chosen
-        for a in range(0, len(live), 512):
-            rows, c = live[a : a + 512], chosen[a : a + 512]
-            alive[rows] &= ALPHA * ALPHA * far(c, pool[rows]) > away[rows]
-            alive[rows, first[rows]] = False
-            alive[rows] &= pool[rows] != c[:, None]
+    kept = np.full((n, DEGREE), -1, np.int32)
+    for a in range(0, n, 512):
+        rows = np.arange(len(pool[a : a + 512]))
+        own_pool = pool[a : a + 512]
+        away = np.maximum(2 - 2 * np.matmul(x[own_pool], x[a : a + 512, :, None])[:, :, 0], 0)
+        order = np.argsort(away, axis=1, kind="stable")
+        own_pool, away = np.take_along_axis(own_pool, order, 1), np.take_along_axis(away, order, 1)
+        near_x = x[own_pool]
+        between = np.maximum(2 - 2 * np.matmul(near_x, near_x.transpose(0, 2, 1)), 0)
+        alive = np.ones(own_pool.shape, bool)
+        for r in range(DEGREE):
+            first = alive.argmax(axis=1)
+            live = alive[rows, first]
+            if not live.any():
+                break
+            kept[a + rows[live], r] = own_pool[rows, first][live]
+            alive &= ALPHA * ALPHA * between[rows, first] > away
+            alive &= own_pool != own_pool[rows, first][:, None]
     source, slot = np.nonzero(kept >= 0)
     target = kept[source, slot]
     a, b = np.concatenate([source, target]), np.concatenate([target, source])
@@ -258,11 +259,12 @@ def _search(cosine: float, beam: int):
 def find_pairs(classes: DataFrame, centres: dict[tuple[int, int], np.ndarray], cosine: float = COSINE, beam: int = BEAM, overlap: int = OVERLAP) -> DataFrame:
     """Verified pairs (a, b) of class representatives.
 
-    Vectors go to their ``overlap`` nearest clusters. A cluster with more than SHARD vectors is hashed into
-    parts; graphs are built over parts, the adjacency lists of a vector are united over its parts, and the
-    cluster's queries search every part in blocks, so neither a graph nor a block outgrows a task.
+    Vectors are indexed in their ``overlap`` nearest clusters and searched for in the nearest. A cluster with
+    more than SHARD vectors is hashed into parts; graphs are built over parts, the adjacency lists of a vector
+    are united over its parts, and the cluster's queries search every part in blocks, so neither a graph nor a
+    block outgrows a task.
     """
-    placed = cut(classes.mapInPandas(_assign(centres, overlap), CLASS + ", cluster int"))
+    placed = cut(classes.mapInPandas(_assign(centres, overlap), CLASS + ", cluster int, rank int"))
     group = ["label", "dim", "cluster"]
     parts = placed.groupBy(*group).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     sized = lookup_parts(placed, parts, group).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -270,8 +272,9 @@ def find_pairs(classes: DataFrame, centres: dict[tuple[int, int], np.ndarray], c
     near = cut(graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # OVERLAP lists at most
     full = sized.join(near, "rep")
     each = F.sequence(F.lit(0), F.col("parts") - 1)
-    as_index = F.transform(each, lambda k: F.struct(F.col("part").alias("p"), k.alias("block"), F.lit(True).alias("is_index"), (k == F.col("part")).alias("is_query")))
-    as_query = F.transform(F.filter(each, lambda k: k != F.col("part")), lambda k: F.struct(k.alias("p"), F.col("part").alias("block"), F.lit(False).alias("is_index"), F.lit(True).alias("is_query")))
+    asks = F.col("rank") == 0
+    as_index = F.transform(each, lambda k: F.struct(F.col("part").alias("p"), k.alias("block"), F.lit(True).alias("is_index"), (asks & (k == F.col("part"))).alias("is_query")))
+    as_query = F.transform(F.filter(each, lambda k: asks & (k != F.col("part"))), lambda k: F.struct(k.alias("p"), F.col("part").alias("block"), F.lit(False).alias("is_index"), F.lit(True).alias("is_query")))
     roles = full.select(*group, "rep", "e", "near", F.explode(F.concat(as_index, as_query)).alias("r")).select(*group, "rep", "e", "near", "r.*")
     found = roles.groupBy(*group, "p", "block").applyInPandas(_search(cosine, beam), "a long, b long")
     return cut(found.distinct())
