@@ -58,7 +58,14 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 2,
 def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, list[tuple[int, int]]]]:
     """(times, [(length, copies), ...]) of each kind of bin, by best-two-fit.
 
-    A bin takes the longest piece that still fits, again and again. Then its smallest piece is replaced, as
+    Replacing pieces in almost full bins may use up small ones that others need more, so the plan is made
+    with several gaps from which on a bin is improved, and the one with the fewest bins is taken.
+    """
+    return min((_plan(counts, window, gap) for gap in (1, window // 32, window // 8, window)), key=lambda kinds: sum(t for t, _ in kinds))
+
+
+def _plan(counts: dict[int, int], window: int, least_gap: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """A bin takes the longest piece that still fits, again and again. Then its smallest piece is replaced, as
     long as that helps, by the two unpacked pieces that fill the gap so widened most tightly, and more than
     it did. A kind of bin is repeated while the counts allow, so the work depends on the number of distinct
     lengths, at most ``window``, and not on the number of pieces.
@@ -77,7 +84,7 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, list[t
             gap -= n * k
             if not free[n]:
                 below = np.maximum.accumulate(np.where(free > 0, sizes, 0))
-        while gap and len(used):
+        while gap >= max(1, least_gap) and used:
             small = min(used)
             room = gap + small
             first = np.flatnonzero(free[: room] > 0)
@@ -88,7 +95,7 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, list[t
             alone = (second == first) & (free[first] < 2)
             second = np.where(alone, lower[np.maximum(first - 1, 0)], second)
             both = np.where(second > 0, first + second, 0)
-            best = int(np.argmax(both))
+            best = int(len(both) - 1 - np.argmax(both[::-1]))
             if both[best] <= small:
                 break
             used[small] -= 1
