@@ -48,7 +48,8 @@ def _known(model: LanguageModel, at: int):
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language: null, empty or without a letter. All others stay."""
-    return docs.mapInArrow(_known(fit_language(docs), docs.columns.index("text")), docs.schema)
+    plain, _, _ = _plain(docs)
+    return plain.mapInArrow(_known(fit_language(docs), docs.columns.index("text")), plain.schema).toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
