@@ -33,7 +33,8 @@ def parser() -> argparse.ArgumentParser:
     render.add_argument("--out")
     render.add_argument("--target", default="typescript")
     render.add_argument("--db-layer", choices=["typeorm", "prisma"], default="typeorm")
-    render.add_argument("--max-classes-per-domain", type=int, default=3)
+    number = {"type": int, "default": 3}
+    render.add_argument("--max-classes-per-domain", **number)
     for flag in ("--force", "--no-scaffold", "--list-targets"):
         render.add_argument(flag, action="store_true")
 
@@ -146,7 +147,7 @@ def _cache(spark, a) -> int:
     if not (a.all or a.older_than is not None or a.prompt_version or a.model):
         print("say what to purge, or --all", file=sys.stderr)
         return 2
-    kept, gone = cache.purge(table, datetime.now(UTC), a.older_than, a.prompt_version, a.model)
+    kept, gone = cache.purge(table, datetime.now(UTC), a.older_than, a.model, a.prompt_version)
     n = gone.count()
     if not a.force and input(f"Remove {n} entries? [y/N] ").lower() != "y":
         return 1
@@ -166,4 +167,4 @@ def main(args: list[str] | None = None, model=None) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .text import _c
 
-RUN_ID = r"^\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}Z-[0-9a-f]{6}$"
+RUN_ID = r"^[0-9]{4}(?:-[0-9]{2}){2}T[0-9]{2}(?:-[0-9]{2}){2}Z-[a-f0-9]{6}$"
 
 
 def text_hash(x) -> Column:
@@ -38,7 +38,7 @@ def prompt_hash(body) -> Column:
 
 
 def run_id(now: datetime | None = None) -> str:
-    return f"{(now or datetime.now(UTC)):%Y-%m-%dT%H-%M-%SZ}-{secrets.token_hex(3)}"
+    return f"{(now or datetime.now(UTC)).isoformat(timespec='seconds')[:19].replace(':', '-')}Z-{secrets.token_hex(3)}"
 
 
 def is_run_id(x) -> Column:
@@ -56,7 +56,7 @@ def template_names(template: str) -> set[str]:
 
 def instant(ts) -> Column:
     """Timestamp of an ISO text with Z, an offset or neither (then UTC); null when it is none. The session is in UTC."""
-    return F.try_to_timestamp(F.regexp_replace(_c(ts), r"^(\d{4}-\d{2}-\d{2})[ T]", "$1T"))
+    return F.try_to_timestamp(F.regexp_replace(_c(ts), r"^([0-9]{4}(?:-[0-9]{2}){2})[ T]", "$1T"))
 
 
 def week_of(ts) -> Column:

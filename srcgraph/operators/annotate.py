@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions.keys import backoff
 from srcgraph.functions.text import line_slice
-from srcgraph.schemas import ANNOTATIONS_DDL
+from srcgraph.schemas import ANNOTATIONS_DDL, TYPE_KINDS
 
 from . import cache as cache_table
 from .regex_extract import signatures
 
-SOURCE_KINDS = ["class", "interface", "enum", "record", "annotation_type"]
 MOST_CHARS, FLOOR, FEW_FAILURES, RATIO, SAMPLES = 240_000, 10, 3, 0.10, 5
 
 
@@ -34,7 +33,7 @@ class CallError(Exception):
 
 
 def source_nodes(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("kind").isin(*SOURCE_KINDS))
+    return nodes.where(F.col("kind").isin(*TYPE_KINDS))
 
 
 def with_source(nodes: DataFrame, files: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def upsert(cache: DataFrame, entries: DataFrame, key: str = "cache_key") -> Data
     return cache.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 
-def purge(cache: DataFrame, now: datetime | None = None, older_than_days: int | None = None, prompt_version: str | None = None, model: str | None = None) -> tuple[DataFrame, DataFrame]:
+def purge(cache: DataFrame, now: datetime | None = None, older_than_days: float | None = None, model: str | None = None, prompt_version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, removed). Conditions are joined by AND; without any all goes."""
     gone = F.lit(True)
     if older_than_days is not None:

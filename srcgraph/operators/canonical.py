@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from srcgraph.schemas import EDGE_KINDS, NODE_KINDS
 
 SCHEMA_VERSION = "1.0.0"
-UNORDERED = {"modifiers", "annotations", "implements", "extends_interfaces", "constants", "constraints"}
+UNORDERED = set("annotations constants constraints extends_interfaces implements modifiers".split())
 
 
 def tidy(array) -> Column:

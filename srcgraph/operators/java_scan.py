@@ -24,7 +24,7 @@ _TOKEN = re.compile(r'''
 |(?P<word>[^\W\d][\w$]*|\$[\w$]*)
 |(?P<mark>->|::|&&|\|\||\.\.\.|[-+*/%&|^=!<>]=|\+\+|--|[@(){}\[\];,.<>=!~?:+\-*/&|^%])
 ''', re.X | re.S)
-MODIFIERS = {"public", "protected", "private", "abstract", "static", "final", "transient", "volatile", "synchronized", "native", "strictfp", "default", "sealed"}
+MODIFIERS = set("abstract default final native private protected public sealed static strictfp synchronized transient volatile".split())
 _NOT_CALLED = {"if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "new", "this", "super", "assert", "try", "do", "else", "case", "yield", "instanceof"}
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 
@@ -240,7 +240,7 @@ def _binding(tags) -> dict | None:
         own = next((pairs for tag, pairs in tags if tag == name), None)
         if own is None:
             continue
-        out = {"kind": kind, "name": None, "required": True, "default_value": None}
+        out = {"default_value": None, "kind": kind, "name": None} | {"required": True}
         for key, raw in own:
             value = _strip(raw)
             if key in ("", "value", "name"):
@@ -263,7 +263,7 @@ def _http(tags) -> dict | None:
                 if key in ("", "value", "path"):
                     out["path"] = _strip(raw)
                 elif key == "method":
-                    out["method"] = next((v for v in ("GET", "POST", "PUT", "DELETE", "PATCH") if v in raw), out["method"])
+                    out["method"] = next((v for v in "GET POST PUT DELETE PATCH".split() if v in raw), out["method"])
             return out
     return None
 
@@ -521,7 +521,7 @@ def _method(fqcn: str, name: str, returns: str, tags, modifiers, parameters, lin
     return {
         "id": f"{fqcn}#{name}({','.join(p['type'] for p in parameters)})", "name": name, "return_type": returns, "modifiers": modifiers, "annotations": names, "is_constructor": constructor, "line_range": lines, "parameters": parameters,
         "is_bean_factory": not constructor and "Bean" in names, "exception_handler": not constructor and "ExceptionHandler" in names, "response_body": not constructor and "ResponseBody" in names, "response_status": None if constructor else status,
-        "http_metadata": None if constructor else _http(tags), "cyclomatic_complexity": None, "cognitive_complexity": None, "method_loc": None, "calls": [], "accessed_fields": [], "is_synthesised": synthesised,
+        "http_metadata": None if constructor else _http(tags), "method_loc": None, "cognitive_complexity": None, "cyclomatic_complexity": None, "calls": [], "accessed_fields": [], "is_synthesised": synthesised,
     }
 
 
@@ -615,7 +615,7 @@ def lombok(tags: set[str], name: str, fqcn: str, fields: list[dict], methods: li
     has = lambda n, arity: any(m["name"] == n and len(m["parameters"]) == arity for m in methods)
 
     def add(target: list[dict], n: str, returns: str, parameters=(), modifiers=("public",)):
-        whole = [{"name": p, "type": t, "validate": False, "constraints": [], "binding": None} for p, t in parameters]
+        whole = [{"binding": None, "constraints": [], "name": p, "type": t, "validate": False} for p, t in parameters]
         m = _method(fqcn, n, returns, [("Synthesised", [])], list(modifiers), whole, [0, 0], target is constructors, True)
         target.append(m | {"cyclomatic_complexity": 1, "cognitive_complexity": 0, "method_loc": 0})
 
@@ -697,7 +697,7 @@ def scan(path: str, source: str) -> dict:
             k = head["close"] + 1
     if not types:
         raise ScanError("no type")
-    stem = path.replace("\\", "/").rsplit("/", 1)[-1].removesuffix(".java")
+    stem = re.sub(r".*[/\\]|\.java$", "", path)
     head = next((t for t in types if "public" in t["modifiers"] and t["name"] == stem), types[0])
     kind, name = head["kind"], head["name"]
     fqcn = f"{package}.{name}" if package else name

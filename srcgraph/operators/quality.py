@@ -191,18 +191,19 @@ _MARK = {"pass": "PASS", "fail": "FAIL", "skip": "SKIP", "mixed": "MIXED"}
 def markdown(checks: DataFrame) -> str:
     """Report as tables, one per scorecard kind with a column per corpus. Checks times corpora are few."""
     aggregated = report(checks)
-    lines = ["# Evaluation", "", f"Overall: {_MARK[report_overall(aggregated).first().overall]}", ""]
+    out = [f"# Evaluation\n\nOverall: {_MARK[report_overall(aggregated).first().overall]}\n"]
     cells = {(r.scorecard_kind, r.id, r.corpus_id): r for r in per_corpus(checks).collect()}
     rows = aggregated.orderBy("scorecard_kind", "id").collect()
+    table_row = lambda values: f"| {' | '.join(values)} |"
     for kind in sorted({r.scorecard_kind for r in rows}):
         corpora = sorted({k[2] for k in cells if k[0] == kind})
-        lines += [f"## {kind}", "", "| " + " | ".join(["Check", *corpora, "Aggregate"]) + " |", "|" + " --- |" * (len(corpora) + 2)]
+        out += [f"## {kind}\n", table_row(["Check", *corpora, "Aggregate"]), table_row(["---"] * (len(corpora) + 2))]
         for r in (r for r in rows if r.scorecard_kind == kind):
             shown = [("-" if (c := cells[kind, r.id, x]).result is None else _MARK[c.result] + (f" ({c.value:g})" if c.value is not None else "")) for x in corpora]
             total = {"boolean": f"{r.pass_count}/{r.total} pass", "min_ratio": "N/A" if r["mean"] is None else f"mean {r['mean']:.4g}", "max_count": "N/A" if r["sum"] is None else f"sum {r['sum']:g}"}.get(r.threshold_kind, "")
-            lines.append("| " + " | ".join([r.id, *shown, f"{_MARK[r.overall_result]} {total}".strip()]) + " |")
-        lines.append("")
-    return "\n".join(lines)
+            out.append(table_row([r.id, *shown, f"{_MARK[r.overall_result]} {total}".strip()]))
+        out.append("")
+    return "\n".join(out)
 
 
 def collapsed(paths: DataFrame) -> DataFrame:

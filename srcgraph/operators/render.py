@@ -59,7 +59,7 @@ def nest() -> Target:
             "src/app.module.ts": "import { Module } from '@nestjs/common';\n<<imports>>\n\n@Module({ imports: [<<modules>>] })\nexport class AppModule {}\n", ".gitignore": "node_modules/\ndist/\n", "README.md": "# <<name>>\n",
         },
         "import { Module } from '@nestjs/common';\n\n@Module({ controllers: [<<controllers>>], providers: [<<providers>>] })\nexport class <<domain>>Module {}\n",
-        {"install": ["npm", "install", "--prefer-offline"], "types": ["npx", "tsc", "--noEmit"]},
+        {"install": "npm install --prefer-offline".split(), "types": "npx tsc --noEmit".split()},
     )
 
 

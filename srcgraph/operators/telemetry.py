@@ -68,7 +68,7 @@ def top(counts: DataFrame, count: str, first: str, key: str, n: int = 5) -> Data
     return counts.where(F.col(count) > 0).orderBy(F.desc(count), first, key).limit(n)
 
 
-def ceiling(rows: DataFrame, run: str = "run_id", order: str = "seq", tokens: str = "tokens", max_calls: int | None = None, max_tokens: int | None = None) -> DataFrame:
+def ceiling(rows: DataFrame, run: str = "run_id", order: str = "seq", tokens: str = "tokens", max_tokens: float | None = None, max_calls: int | None = None) -> DataFrame:
     """Running calls and tokens of each run and whether the call is still allowed.
 
     Calls are checked before a call and tokens after it, so the call that exceeds the token ceiling is the first that

@@ -559,7 +559,7 @@ def ignore_filter(t):
 
 @query("""
 WITH n AS (SELECT p_partkey, replace(p_brand, '#', '') || 'HTTPServer' || p_size || 'Of' AS camel, lower(p_name) AS words FROM part)
-SELECT p_partkey, lower(regexp_replace(regexp_replace(camel, '([0-9a-z])([A-Z])', '\\1-\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1-\\2', 'g')) AS kebab,
+SELECT p_partkey, lower(regexp_replace(regexp_replace(camel, '([0-9a-z])([A-Z])', '\\1-\\2', 'g'), '([A-Z]+)([A-Z])([a-z])', '\\1-\\2\\3', 'g')) AS kebab,
 array_to_string(list_transform(string_split(replace(replace(words, ' ', '-'), '-', '_'), '_'), lambda x: upper(x[1]) || lower(x[2:])), '') AS pascal FROM n
 """)
 def kebab_pascal(t):

@@ -56,23 +56,19 @@ EDGE_KINDS = {
     "relation": ["source", "target", "cardinality", "join_column"],
     "bean_factory": ["source", "target"],
 }
-TYPE_KINDS = ["class", "interface", "enum", "record", "annotation_type"]
-RENDERABLE = ["class", "interface", "record", "enum"]
+TYPE_KINDS = "annotation_type class enum interface record".split()
+RENDERABLE = "class enum interface record".split()
 
-_ACCESS = ["public", "protected", "private"]
+_ACCESS = "private protected public"
 MODIFIERS = {
-    "class": [*_ACCESS, "abstract", "final", "static"],
-    "interface": [*_ACCESS, "abstract", "static"],
-    "enum": _ACCESS,
-    "annotation_type": _ACCESS,
-    "method": [*_ACCESS, "abstract", "default", "final", "static", "synchronized", "native"],
-    "field": [*_ACCESS, "final", "static", "transient", "volatile"],
+    kind: f"{_ACCESS} {more}".split()
+    for kind, more in {"class": "abstract final static", "interface": "abstract static", "enum": "", "annotation_type": "", "method": "abstract default final native static synchronized", "field": "final static transient volatile"}.items()
 }
 STEREOTYPES = "Component Configuration Controller ControllerAdvice Entity Repository RestController Service SpringBootApplication".split()
-GENERATIONS = ["AUTO", "IDENTITY", "SEQUENCE", "TABLE", "UUID"]
+GENERATIONS = "AUTO IDENTITY SEQUENCE TABLE UUID".split()
 INJECTIONS = ["field", "constructor", "setter"]
-HTTP_METHODS = ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"]
-BINDINGS = ["path", "query", "body", "header", "request_param", "model_attribute"]
+HTTP_METHODS = "DELETE GET HEAD OPTIONS PATCH POST PUT".split()
+BINDINGS = "body header model_attribute path query request_param".split()
 CONSTRAINTS = "Email Max Min NotBlank NotEmpty NotNull Pattern Size".split()
 CARDINALITY = {"OneToOne": "ONE_TO_ONE", "OneToMany": "ONE_TO_MANY", "ManyToOne": "MANY_TO_ONE", "ManyToMany": "MANY_TO_MANY"}
 #: Types that say nothing about coupling.

@@ -23,7 +23,7 @@ def kind_of(spec: str) -> str:
 
 
 def _clone(url: str, target: str):
-    subprocess.run(["git", "clone", "--depth", "1", "--", url, target], check=True, capture_output=True)
+    subprocess.run([*"git clone --depth 1 --".split(), url, target], check=True, capture_output=True)
 
 
 @contextmanager

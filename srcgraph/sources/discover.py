@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from .ignore import corpus_patterns, ignored
 
 BUILD_FILES = ["pom.xml", "build.gradle", "build.gradle.kts"]
-PRUNED = ["target", "build", ".git", ".idea", ".vscode"]
-SOURCE_ROOTS = ["src/main/java", "src/test/java"]
+PRUNED = ".git .idea .vscode build target".split()
+SOURCE_ROOTS = [f"src/{part}/java" for part in ("main", "test")]
 
 
 def modules(paths: DataFrame, corpus: str = "corpus") -> DataFrame:

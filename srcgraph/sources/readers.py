@@ -115,6 +115,8 @@ class Settings:
 
 @dataclass(frozen=True)
 class Prompt:
+    """A loaded prompt: where it is from, its two parts and the hash of both."""
+
     id: str
     version: str
     system: str
@@ -162,7 +164,8 @@ def prompt(folder: str, id_: str, version: str | None = None) -> Prompt:
         raise ValueError(f"content hash of {id_} {wanted} is {pin}, not {meta.get('content_hash_pin')}")
     system, user = "", body.strip()
     if "# System" in body and "# User" in body:
-        system, user = (x.strip() for x in body.split("# System", 1)[1].split("# User", 1))
+        rest = body.partition("# System")[2]
+        system, user = (x.strip() for x in rest.partition("# User")[::2])
     declared, used = {*meta.get("required_vars", []), *meta.get("optional_vars", [])}, template_names(system + user)
     if used - declared or set(meta.get("required_vars", [])) - used:
         raise ValueError(f"variables of {id_}: undeclared {sorted(used - declared)}, unused {sorted(set(meta.get('required_vars', [])) - used)}")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from srcgraph.operators import canonical, quality
 
+SCORECARD_VERSION, MANIFEST_VERSION = "1.0.0", "2.0.0"
+
 
 def prepare(folder: str, force: bool = False, clear: bool = False) -> Path:
     """Output folder. The working folder and those above it are refused, and one with files unless forced."""
@@ -66,10 +68,10 @@ def write_scorecard(checks: DataFrame, folder: str, kind: str, corpus_id: str) -
     rows = [json.loads(x) for x in checks.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toPandas()["j"]]
     overall = "pass" if all(r["result"] in ("pass", "skip") for r in rows) else "fail"
     path = Path(folder) / "evals" / f"{kind}-scorecard.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    body = json.dumps({"schema_version": "1.0.0", "kind": kind, "corpus_id": corpus_id, "overall": overall, "checks": rows}, indent=2, sort_keys=True) + "\n"
+    path.parent.mkdir(exist_ok=True, parents=True)
+    body = json.dumps({"checks": rows, "corpus_id": corpus_id, "kind": kind, "overall": overall, "schema_version": SCORECARD_VERSION}, indent=2, sort_keys=True) + "\n"
     path.write_text(body)
-    return {"path": str(path), "schema_version": "1.0.0", "sha256": hashlib.sha256(body.encode()).hexdigest(), "overall": overall}
+    return {"overall": overall, "path": str(path), "schema_version": SCORECARD_VERSION, "sha256": hashlib.sha256(body.encode()).hexdigest()}
 
 
 def write_manifest(folder: str, **parts) -> Path:
@@ -77,7 +79,7 @@ def write_manifest(folder: str, **parts) -> Path:
     path = Path(folder) / "manifest.json"
     if path.exists() and json.loads(path.read_text()).get("run_id") == parts.get("run_id"):
         raise FileExistsError("the manifest of this run is written already")
-    path.write_text(json.dumps({"schema_version": "2.0.0", "created_at": f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}"} | parts, indent=2, sort_keys=True) + "\n")
+    path.write_text(json.dumps({"schema_version": MANIFEST_VERSION, "created_at": datetime.now(UTC).isoformat(timespec="seconds")} | parts, indent=2, sort_keys=True) + "\n")
     return path
 
 
@@ -110,7 +112,7 @@ def write_files(files: DataFrame, folder: str) -> int:
         path = (base / row.path).resolve()
         if base not in path.parents:
             raise ValueError(f"{row.path} leaves the folder")
-        path.parent.mkdir(parents=True, exist_ok=True)
+        path.parent.mkdir(exist_ok=True, parents=True)
         path.write_text(row.content)
         n += 1
     return n

@@ -12,13 +12,13 @@ from srcgraph.schemas import PARSED_DDL
 def parsed(spark, *rows):
     full = []
     for k, r in enumerate(rows):
-        base = {"kind": "class", "name": r["id"].rsplit(".", 1)[-1], "source_file": f"{k}.java", "extraction_mode": "ast", "imports": [], "fields": [], "methods": []}
+        base = {"kind": "class", "name": r["id"].rsplit(".", 1)[-1], "source_file": f"{k}.java", "extraction_mode": "ast"} | {k: [] for k in ("imports", "fields", "methods")}
         full.append({"file_ord": k, "module_id": "mod:m"} | base | r)
     return spark.read.schema("file_ord BIGINT, module_id STRING, " + PARSED_DDL).json(spark.sparkContext.parallelize([json.dumps(r) for r in full]))
 
 
 def field(owner, name, type_, **more):
-    return {"id": f"{owner}.{name}", "name": name, "type": type_, "modifiers": [], "annotations": [], "is_autowired": False, "constraints": []} | more
+    return {"id": f"{owner}.{name}", "name": name, "type": type_, "annotations": [], "constraints": [], "is_autowired": False, "modifiers": []} | more
 
 
 def method(owner, name, calls=(), parameters=(), returns="void", **more):

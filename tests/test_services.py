@@ -37,7 +37,7 @@ def tree(tmp_path):
     }
     for name, body in files.items():
         path = tmp_path / "repo" / name
-        path.parent.mkdir(parents=True, exist_ok=True)
+        path.parent.mkdir(exist_ok=True, parents=True)
         path.write_text(body)
     return tmp_path / "repo"
 
