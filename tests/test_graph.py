@@ -23,7 +23,7 @@ def field(owner, name, type_, **more):
 
 def method(owner, name, calls=(), parameters=(), returns="void", **more):
     ps = [{"name": n, "type": t, "constraints": []} for n, t in parameters]
-    return {"id": f"{owner}#{name}({','.join(t for _, t in parameters)})", "name": name, "return_type": returns, "modifiers": [], "annotations": [], "is_constructor": False, "parameters": ps, "calls": list(calls)} | more
+    return {"id": f"{owner}#{name}({','.join(t for _, t in parameters)})", "name": name, "return_type": returns, "annotations": [], "is_constructor": False, "modifiers": [], "parameters": ps, "calls": list(calls)} | more
 
 
 A, B = "com.example.A", "com.example.B"
