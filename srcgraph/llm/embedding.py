@@ -17,7 +17,7 @@ COSINE = 0.93
 SHARD, OVERLAP, MOST_CLUSTERS = 2500, 3, 4096
 #: Vectors that the clusters are fitted on.
 SAMPLE = 50_000
-DEGREE, POOL, ALPHA, BEAM = 16, 32, 1.2, 24
+DEGREE, POOL, ALPHA, BEAM = 24, 48, 1.2, 48
 #: Queries that the recall is audited with, the recall that is asked for, and rounds with a doubled beam.
 AUDIT, RECALL, ROUNDS = 1000, 0.98, 3
 _SLACK = 0.06
@@ -86,10 +86,10 @@ def _assign(centres: dict[tuple[int, int], np.ndarray], overlap: int):
             for group, own in pdf.groupby(["label", "dim"]):
                 c = centres.get((int(group[0]), int(group[1])))
                 if c is None:
-                    parts.append(own.assign(cluster=0, rank=0))
+                    parts.append(own.assign(cluster=0))
                     continue
                 near = np.argsort(-(unit(_stack(own["e"])).astype(np.float32) @ c.T), axis=1, kind="stable")[:, :overlap]
-                parts += [own.assign(cluster=near[:, k].astype(np.int32), rank=k) for k in range(near.shape[1])]
+                parts += [own.assign(cluster=near[:, k].astype(np.int32)) for k in range(near.shape[1])]
             if parts:
                 yield pd.concat(parts)
 
@@ -155,12 +155,13 @@ def _padded(a: np.ndarray, b: np.ndarray, rank: np.ndarray, n: int, most: int) -
     return out
 
 
-def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, cosine: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, cosine: float, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs with a cosine of at least ``cosine``, among those that the search visits.
 
-    A greedy beam search runs from the medoid for all queries at once. Then every visited row near enough is
-    expanded, and so on from what that finds, until no new row is near enough. Found pairs are verified in
-    double precision.
+    A greedy beam search runs for all queries at once, from the medoid and from the query's ``own`` row (-1: it
+    has none), so a group that no path from the medoid reaches still finds itself. Then every visited row near
+    enough is expanded, and so on from what that finds, until no new row is near enough. Found pairs are
+    verified in double precision.
     """
     n, count = len(x), len(queries)
     q32, x32 = queries.astype(np.float32), x.astype(np.float32)
@@ -169,6 +170,10 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, cosine:
     seen[:, medoid] = True
     ids, sims = np.full((count, beam), medoid, np.int32), np.full((count, beam), -2, np.float32)
     sims[:, 0] = q32 @ x32[medoid]
+    own = np.full(count, -1) if own is None else own
+    there = np.flatnonzero((own >= 0) & (own != medoid))
+    seen[there, own[there]] = True
+    ids[there, 1], sims[there, 1] = own[there], np.einsum("nd,nd->n", q32[there], x32[own[there]])
     hits: list[tuple[np.ndarray, np.ndarray]] = []
     near = cosine - _SLACK
 
@@ -178,6 +183,7 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, cosine:
             hits.append((q[ok].astype(np.int32), r[ok].astype(np.int32)))
 
     note(np.arange(count), np.full(count, medoid), sims[:, 0])
+    note(there, own[there], sims[there, 1])
     active = np.arange(count)
     while len(active):
         open_ = np.where(done[active[:, None], ids[active]] | (sims[active] < -1.5), -3, sims[active])
@@ -248,8 +254,10 @@ def _search(cosine: float, beam: int):
         source = np.repeat(np.arange(len(reps)), sizes)
         rank = np.arange(len(target)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         graph = _padded(source[ok], at[ok], rank[ok], len(reps), 9 * DEGREE)
-        q, r = range_search(unit(_stack(query["e"])), unit(_stack(index["e"])), graph, cosine, beam)
-        a, b = query["rep"].to_numpy()[q], reps[r]
+        asked = query["rep"].to_numpy()
+        place = np.minimum(np.searchsorted(reps, asked), len(reps) - 1)
+        q, r = range_search(unit(_stack(query["e"])), unit(_stack(index["e"])), graph, cosine, beam, np.where(reps[place] == asked, place, -1))
+        a, b = asked[q], reps[r]
         out = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
@@ -259,12 +267,12 @@ def _search(cosine: float, beam: int):
 def find_pairs(classes: DataFrame, centres: dict[tuple[int, int], np.ndarray], cosine: float = COSINE, beam: int = BEAM, overlap: int = OVERLAP) -> DataFrame:
     """Verified pairs (a, b) of class representatives.
 
-    Vectors are indexed in their ``overlap`` nearest clusters and searched for in the nearest. A cluster with
-    more than SHARD vectors is hashed into parts; graphs are built over parts, the adjacency lists of a vector
-    are united over its parts, and the cluster's queries search every part in blocks, so neither a graph nor a
+    Vectors go to their ``overlap`` nearest clusters and are searched for in all of them. A cluster with more
+    than SHARD vectors is hashed into parts; graphs are built over parts, the adjacency lists of a vector are
+    united over its parts, and the cluster's queries search every part in blocks, so neither a graph nor a
     block outgrows a task.
     """
-    placed = cut(classes.mapInPandas(_assign(centres, overlap), CLASS + ", cluster int, rank int"))
+    placed = cut(classes.mapInPandas(_assign(centres, overlap), CLASS + ", cluster int"))
     group = ["label", "dim", "cluster"]
     parts = placed.groupBy(*group).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     sized = lookup_parts(placed, parts, group).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -272,9 +280,8 @@ def find_pairs(classes: DataFrame, centres: dict[tuple[int, int], np.ndarray], c
     near = cut(graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # OVERLAP lists at most
     full = sized.join(near, "rep")
     each = F.sequence(F.lit(0), F.col("parts") - 1)
-    asks = F.col("rank") == 0
-    as_index = F.transform(each, lambda k: F.struct(F.col("part").alias("p"), k.alias("block"), F.lit(True).alias("is_index"), (asks & (k == F.col("part"))).alias("is_query")))
-    as_query = F.transform(F.filter(each, lambda k: asks & (k != F.col("part"))), lambda k: F.struct(k.alias("p"), F.col("part").alias("block"), F.lit(False).alias("is_index"), F.lit(True).alias("is_query")))
+    as_index = F.transform(each, lambda k: F.struct(F.col("part").alias("p"), k.alias("block"), F.lit(True).alias("is_index"), (k == F.col("part")).alias("is_query")))
+    as_query = F.transform(F.filter(each, lambda k: k != F.col("part")), lambda k: F.struct(k.alias("p"), F.col("part").alias("block"), F.lit(False).alias("is_index"), F.lit(True).alias("is_query")))
     roles = full.select(*group, "rep", "e", "near", F.explode(F.concat(as_index, as_query)).alias("r")).select(*group, "rep", "e", "near", "r.*")
     found = roles.groupBy(*group, "p", "block").applyInPandas(_search(cosine, beam), "a long, b long")
     return cut(found.distinct())

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -380,6 +381,24 @@ def test_robust_graph_reaches_everything():
     assert len(q) / want > 0.98 and graph.shape[1] <= 3 * embedding.DEGREE
 
 
+def test_search_reaches_groups_apart():
+    """A group that no edge joins with the medoid's still finds itself."""
+    rng = np.random.default_rng(12)
+    e = np.concatenate([[1.0, 0, 0] + rng.normal(0, 0.01, (20, 3)), [0, 0, 1.0] + rng.normal(0, 0.01, (3, 3))])
+    near = [[j for j in (range(20) if i < 20 else range(20, 23)) if j != i] for i in range(23)]
+    pdf = pd.DataFrame({"rep": np.arange(23), "e": list(e), "near": near, "is_index": True, "is_query": True})
+    got = embedding._search(0.93, embedding.BEAM)(pdf)
+    assert {(20, 21), (20, 22), (21, 22)} <= set(zip(got["a"].tolist(), got["b"].tolist(), strict=True))
+
+
+def test_search_in_all_clusters(spark):
+    """Two near vectors that share neither's nearest cluster but their second."""
+    at = lambda lon, lat: [float(x) for x in (np.cos(np.radians(lat)) * np.cos(np.radians(lon)), np.cos(np.radians(lat)) * np.sin(np.radians(lon)), np.sin(np.radians(lat)))]
+    classes = spark.createDataFrame([(0, 3, 1, 1, at(0, 0)), (0, 3, 2, 1, at(20, 0))], embedding.CLASS)
+    centres = {(0, 3): np.array([at(-5, 0), at(25, 0), at(10, 20)], np.float32)}
+    assert [tuple(r) for r in embedding.find_pairs(classes, centres, overlap=2).collect()] == [(1, 2)]
+
+
 # ---------------------------------------------------------------- 8 near-dedup
 
 
