@@ -304,7 +304,7 @@ def _brute(sample: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], cosine:
                 reps = own["rep"].to_numpy()
                 q, r = np.nonzero(s[1] @ unit(_stack(own["e"])).T >= cosine)
                 keep = s[0][q] != reps[r]
-                out.append(pd.DataFrame({"a": s[0][q][keep], "b": reps[r][keep]}))
+                out.append(pd.DataFrame({"q": s[0][q][keep], "r": reps[r][keep]}))
             if out:
                 yield pd.concat(out)
 
@@ -312,13 +312,50 @@ def _brute(sample: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], cosine:
 
 
 def audit(classes: DataFrame, pairs: DataFrame, cosine: float = COSINE, queries: int = AUDIT, seed: int = 9) -> float:
-    """Share of the true links of hashed sample queries, by comparison with all vectors, that ``pairs`` holds."""
+    """Recall of hashed sample queries, by comparison with all vectors: the least of the strata's means.
+
+    The recall of a query is the share of its true links that ``pairs`` holds. Queries are averaged within
+    strata of equal decimal digits of their number of links, so neither a large group's links nor its many
+    queries outweigh what small groups miss.
+    """
     total = classes.count()
     drawn = classes.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) < min(1.0, queries / max(total, 1)) * (1 << 30)).limit(2 * queries).select("label", "dim", "rep", "e").toPandas()
     sample = {(int(g[0]), int(g[1])): (own["rep"].to_numpy(), unit(_stack(own["e"]))) for g, own in drawn.groupby(["label", "dim"])}
-    truth = classes.mapInPandas(_brute(sample, cosine), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    n, found = truth.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return found / n if n else 1.0
+    truth = classes.mapInPandas(_brute(sample, cosine), "q long, r long").select("q", F.least("q", "r").alias("a"), F.greatest("q", "r").alias("b"))
+    each = truth.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("q").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
+    strata = each.groupBy(F.length(F.col("n").cast("string"))).agg(F.avg(F.col("found") / F.col("n")).alias("recall"))
+    least = strata.agg(F.min("recall")).first()[0]
+    return 1.0 if least is None else least
+
+
+def _compare(cosine: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["is_left"]], pdf[pdf["is_right"]]
+        found = [np.zeros((2, 0), np.int64)]
+        if len(left) and len(right):
+            x, y = unit(_stack(left["e"])), unit(_stack(right["e"]))
+            lrep, rrep = left["rep"].to_numpy(), right["rep"].to_numpy()
+            for k in range(0, len(x), 512):
+                q, r = np.nonzero(x[k : k + 512] @ y.T >= cosine)
+                a, b = lrep[k + q], rrep[r]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b])
+        out = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pd.DataFrame({"a": out[0], "b": out[1]})
+
+    return run
+
+
+def exact_pairs(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """All pairs (a, b), by comparing each hashed block of about SHARD vectors of a label with each other one.
+
+    The work is quadratic in the vectors of a label, so this is for what the search can't find.
+    """
+    group = ["label", "dim"]
+    parts = classes.groupBy(*group).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
+    sized = lookup_parts(classes, parts, group).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    role = lambda k: F.struct(F.least(k, "part").alias("p"), F.greatest(k, "part").alias("block"), (F.col("part") <= k).alias("is_left"), (F.col("part") >= k).alias("is_right"))
+    roles = sized.select(*group, "part", "rep", "e", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select(*group, "rep", "e", role(F.col("k")).alias("r")).select(*group, "rep", "e", "r.*")
+    return cut(roles.groupBy(*group, "p", "block").applyInPandas(_compare(cosine), "a long, b long"))
 
 
 def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -326,7 +363,8 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, beam: int = BEAM
 
     Equal vectors of a label are one class, so copies are never expanded into pairs; they count in n_links.
     The recall of the search is audited by brute force on sample queries, and below RECALL the search is
-    repeated with a wider beam and more overlap.
+    repeated with a wider beam and more overlap. If the last round is below it too, all vectors of a label
+    are compared.
 
     Null labels, and vectors that are null, empty or zero or hold null or non-finite components, link with
     nothing: no links, a component of their own. Vectors of different dimensions aren't compared. Repeated
@@ -345,6 +383,8 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, beam: int = BEAM
         pairs = found if pairs is None else cut(pairs.union(found).distinct())
         if audit(classes, pairs, cosine) >= RECALL:
             break
+    else:
+        pairs = exact_pairs(classes, cosine)
     small = classes.select(F.col("rep").alias("b"), "copies")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(small, "b").groupBy("a").agg(F.sum("copies").alias("others"))

@@ -399,6 +399,26 @@ def test_search_in_all_clusters(spark):
     assert [tuple(r) for r in embedding.find_pairs(classes, centres, overlap=2).collect()] == [(1, 2)]
 
 
+def test_audit_sees_small_groups(spark):
+    """A large group whose links are all found doesn't hide small groups whose links are all missing."""
+    rng = np.random.default_rng(13)
+    hot = [1.0] + [0.0] * 29 + rng.normal(0, 0.01, (200, 30))
+    twins = np.repeat(np.eye(30)[1:9], 2, axis=0) + rng.normal(0, 0.01, (16, 30))
+    classes = spark.createDataFrame([(0, 30, k, 1, e.tolist()) for k, e in enumerate(np.concatenate([hot, twins]))], embedding.CLASS)
+    large, small = [(a, b) for a in range(200) for b in range(a + 1, 200)], [(200 + 2 * k, 201 + 2 * k) for k in range(8)]
+    made = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    assert embedding.audit(classes, made(large)) < embedding.RECALL and embedding.audit(classes, made(large + small)) == 1.0
+
+
+@pytest.mark.parametrize("shard", [2500, 40])
+def test_links_are_whole_when_the_search_fails(spark, monkeypatch, shard):
+    monkeypatch.setattr(embedding, "SHARD", shard)
+    monkeypatch.setattr(embedding, "find_pairs", lambda *_: spark.createDataFrame([], "a long, b long"))
+    rows = vectors(120)
+    got = embedding.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()) == links_brute(rows)
+
+
 # ---------------------------------------------------------------- 8 near-dedup
 
 
