@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from srcgraph.llm._spark import cut, fresh_dir
 from srcgraph.llm._text import chunks
 from srcgraph.llm.exact_dedup import exact_dedup, normal_digest
-from srcgraph.llm.language import LanguageModel, fit_language
+from srcgraph.llm.language import LanguageModel, fit_language, has_letter
 from srcgraph.llm.minhash import near_dedup
 from srcgraph.llm.mixing import mix
 from srcgraph.llm.packing import pack_documents
@@ -40,14 +40,17 @@ def _known(model: LanguageModel, at: int):
         for batch in batches:
             for i, j, _, _ in chunks(batch.column(at), SLICE_BYTES):
                 part = batch.slice(i, j - i)
-                best, _ = model.predict(part.column(at))
-                yield part.filter(pa.array(best >= 0))
+                if model.languages:
+                    best, _ = model.predict(part.column(at))
+                    yield part.filter(pa.array(best >= 0))
+                else:
+                    yield part.filter(pa.array(has_letter(part.column(at))))
 
     return run
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language: null, empty or without a letter. All others stay."""
+    """Drop documents of no language: null, empty or without a letter. All others stay, also when none is learnt."""
     plain, _, _ = _plain(docs)
     return plain.mapInArrow(_known(fit_language(docs), docs.columns.index("text")), plain.schema).toDF(*docs.columns)
 

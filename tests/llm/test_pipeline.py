@@ -72,6 +72,18 @@ def test_run_on_nothing(spark, stages, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_unlabelled_corpus_stays(spark, stages, tmp_path):
+    """Without any label no language is learnt, and still only texts without a letter go."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = plain.withColumn("lang", F.lit(None).cast("string")).limit(60)
+    plain = plain.unionByName(plain.limit(1).withColumns({"doc_id": F.lit(9003).cast("long"), "text": F.lit("12 34")})).persist()
+    got = Counter(rows(pipeline.language(spark, plain, SF)))
+    want = Counter(r for r in rows(plain) if any(map(str.isalpha, r[1] or "")))
+    assert got == want and sum(want.values()) > 50 and 9003 not in {r[0] for r in got}
+    plain.write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() > 0
+
+
 def test_registered():
     import __spark_entry__
 
