@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import tiktoken
@@ -37,7 +38,7 @@ def _merge_ranks(path: str) -> dict[bytes, int]:
 
 
 class Bpe:
-    """ids(): the ids of many texts. Pieces are cached by a 64-bit hash up to ``cached`` pieces, then afresh."""
+    """ids(): the ids of many texts. Pieces are cached by a 64-bit hash up to ``cached`` pieces, then afresh, also within a text."""
 
     def __init__(self, path: str, cached: int = 500_000):
         ranks = _merge_ranks(path)
@@ -161,6 +162,22 @@ class Bpe:
         self.count += len(ids)
         self.used += len(flat)
 
+    def _lengths(self, text: str, h, starts, ends) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Sizes and ids of all pieces, in runs that hold no more distinct pieces than the cache does."""
+        for a in range(0, len(h), self.cached):
+            own = slice(a, a + self.cached)
+            part, first, last = h[own], starts[own], ends[own]
+            at = self._find(part)
+            if (unknown := np.flatnonzero(at < 0)).size:
+                if self.count + len(unknown) > self.cached:
+                    self._reset()
+                    unknown = np.arange(len(part))
+                self._learn(text, part[unknown], first[unknown], last[unknown])
+                at = self._find(part)
+            size = self.size[at].astype(np.int64)
+            stop = np.cumsum(size)
+            yield size, self.ids_[np.repeat(self.start[at] - stop + size, size) + np.arange(stop[-1])]
+
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of the texts in them."""
         text = data.tobytes().decode("utf-8", "replace")
@@ -175,17 +192,8 @@ class Bpe:
         np.cumsum(mix(cps.astype(np.uint64) + _SALT) * up[:-1], out=total[1:])
         h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         h[h == 0] = 1
-        at = self._find(h)
-        if (unknown := np.flatnonzero(at < 0)).size:
-            if self.count + len(unknown) > self.cached:
-                self._reset()
-                unknown = np.arange(len(h))
-            self._learn(text, h[unknown], starts[unknown], ends[unknown])
-            at = self._find(h)
-        size = self.size[at].astype(np.int64)
-        stop = np.cumsum(size)
-        flat = self.ids_[np.repeat(self.start[at] - stop + size, size) + np.arange(stop[-1])]
-        return flat, np.concatenate([[0], stop])[np.searchsorted(starts, rows, "left")]
+        sizes, flat = zip(*self._lengths(text, h, starts, ends), strict=True)
+        return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[np.searchsorted(starts, rows, "left")]
 
 
 _loaded: dict[str, Bpe] = {}

@@ -4,6 +4,7 @@ import base64
 import bisect
 import hashlib
 import re
+import signal
 import zlib
 from collections import Counter, defaultdict
 
@@ -90,6 +91,22 @@ def test_bpe_is_the_tokenizer():
             assert [flat[at[k] : at[k + 1]].tolist() for k in range(j - i)] == [own.encode(t, add_special_tokens=False).ids for t in texts[i:j]]
 
 
+def test_bpe_of_more_pieces_than_the_cache_holds():
+    """A long text is one call; its distinct pieces outnumber the slots of the table."""
+    text = " ".join(f"{k}x{k * 7}" for k in range(3000))
+    own = tokenizers.Tokenizer.from_file(PATH)
+    data = np.frombuffer(text.encode(), np.uint8)
+    model = Bpe(PATH, cached=100)
+    assert len({text[a:b] for a, b in zip(*model.pieces(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0, len(text)])), strict=True)}) > len(model.keys)
+    signal.signal(signal.SIGALRM, lambda *_: pytest.fail("the search for a free slot doesn't end"))
+    signal.alarm(60)
+    try:
+        flat, at = model.ids(data, np.array([0, len(data)]))
+    finally:
+        signal.alarm(0)
+    assert flat.tolist() == own.encode(text, add_special_tokens=False).ids and at.tolist() == [0, len(flat)]
+
+
 def check_packing(rows, texts, window=1024):
     own = tokenizers.Tokenizer.from_file(PATH)
     own.encode_special_tokens = True
