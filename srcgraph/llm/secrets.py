@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ._spark import pick
 
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
-#: Code points between parts of one credential, at most.
+#: Code points between parts of one credential, at most, where no other reach is asked for.
 REACH = 240
 WEAK_ENTROPY = 3.2
 
@@ -58,8 +58,8 @@ def _clear(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[t
     return out
 
 
-def _near(parts: list[tuple[int, int]], others: list[tuple[int, int]], edges: np.ndarray) -> np.ndarray:
-    """Interval join: whether each part has another within REACH and within its scope.
+def _near(parts: list[tuple[int, int]], others: list[tuple[int, int]], edges: np.ndarray, reach: int | None = REACH) -> np.ndarray:
+    """Interval join: whether each part has another within ``reach`` (None: any) and within its scope.
 
     Both sides are sorted and free of overlap, so a part's partners are a stretch of the others, found by
     bisection; partners aren't enumerated.
@@ -68,8 +68,9 @@ def _near(parts: list[tuple[int, int]], others: list[tuple[int, int]], edges: np
         return np.zeros(len(parts), bool)
     p, o = np.array(parts), np.array(others)
     scope = np.searchsorted(edges, p[:, 0], "right")
-    low = np.maximum(p[:, 0] - REACH, np.concatenate([[0], edges])[scope])
-    high = np.minimum(p[:, 1] + REACH, np.append(edges, 1 << 60)[scope])
+    reach = 1 << 60 if reach is None else reach
+    low = np.maximum(p[:, 0] - reach, np.concatenate([[0], edges])[scope])
+    high = np.minimum(p[:, 1] + reach, np.append(edges, 1 << 60)[scope])
     first = np.searchsorted(o[:, 1], low, "right")
     return (first < len(o)) & (o[np.minimum(first, len(o) - 1), 0] < high)
 
@@ -85,7 +86,7 @@ def _merge(*lists: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def link(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
+def link(text: str, base: dict[str, list[tuple[int, int]]], reach: int | None = REACH) -> dict[str, list[tuple[int, int]]]:
     """Weak parts that complement each other within a scope, the lines between two blank ones.
 
     A weak identifier counts beside a secret, a weak secret beside an identifier, and an endpoint beside both;
@@ -108,40 +109,44 @@ def link(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tu
     secrets = _merge(base["assign"], base["hex"], weak)
     pick_ = lambda spans, ok: [s for s, k in zip(spans, ok, strict=True) if k]
     return {
-        "weak_id": pick_(ids, _near(ids, secrets, edges)),
-        "weak_secret": pick_(weak, _near(weak, every_id, edges)),
-        "endpoint": pick_(ends, _near(ends, secrets, edges) & _near(ends, every_id, edges)),
+        "weak_id": pick_(ids, _near(ids, secrets, edges, reach)),
+        "weak_secret": pick_(weak, _near(weak, every_id, edges, reach)),
+        "endpoint": pick_(ends, _near(ends, secrets, edges, reach) & _near(ends, every_id, edges, reach)),
     }
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _scan(batches):
-    for batch in batches:
-        texts = batch.column(1)
-        if texts.null_count:
-            texts = pc.fill_null(texts, "")
-        assign = pc.match_substring_regex(texts, _MAYBE_ASSIGN).to_numpy(zero_copy_only=False)
-        hexes = pc.match_substring_regex(texts, "[0-9a-f]{24}").to_numpy(zero_copy_only=False)
-        ids = pc.match_substring_regex(texts, _MAYBE_ID).to_numpy(zero_copy_only=False)
-        found: list[list[dict]] = [[] for _ in range(len(texts))]
-        for k in np.flatnonzero(assign | hexes | ids).tolist():
-            text = texts[k].as_py()
-            base = base_spans(text)
-            spans = base | (link(text, base) if ids[k] else {})
-            found[k] = sorted(({"kind": kind, "start": a, "end": b} for kind, own in spans.items() for a, b in own), key=lambda s: (s["start"], KINDS.index(s["kind"])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "found"])
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scan(reach: int | None):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1)
+            if texts.null_count:
+                texts = pc.fill_null(texts, "")
+            assign = pc.match_substring_regex(texts, _MAYBE_ASSIGN).to_numpy(zero_copy_only=False)
+            hexes = pc.match_substring_regex(texts, "[0-9a-f]{24}").to_numpy(zero_copy_only=False)
+            ids = pc.match_substring_regex(texts, _MAYBE_ID).to_numpy(zero_copy_only=False)
+            found: list[list[dict]] = [[] for _ in range(len(texts))]
+            for k in np.flatnonzero(assign | hexes | ids).tolist():
+                text = texts[k].as_py()
+                base = base_spans(text)
+                spans = base | (link(text, base, reach) if ids[k] else {})
+                found[k] = sorted(({"kind": kind, "start": a, "end": b} for kind, own in spans.items() for a, b in own), key=lambda s: (s["start"], KINDS.index(s["kind"])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "found"])
+
+    return run
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
     """All spans of every whole text: (doc_id, found: array of kind, start, end in code points).
 
     Null and empty texts have none. Ties of the start go by the order of KINDS. Repeated rows are scanned each
     for itself; very long texts are scanned whole. Nothing is shuffled. An empty table gives an empty result.
+    Parts of a credential are joined within a scope up to ``reach`` code points apart (None: wherever they stand).
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_scan, "doc_id long, found array<struct<kind: string, start: long, end: long>>")
+    return rows.mapInArrow(_scan(reach), "doc_id long, found array<struct<kind: string, start: long, end: long>>")
 
 
 def mask(text: str, spans: list[tuple[int, int]], by: str = "<SECRET>") -> str:
@@ -162,7 +167,7 @@ def base_digest(spans: list[dict]) -> str:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    rows = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), reach=None)
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("found", lambda s: s["kind"].isin(KINDS[:3]))

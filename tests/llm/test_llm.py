@@ -197,6 +197,12 @@ def test_secrets(spark, docs, none):
     assert secrets.mask("a secret b", [(2, 5), (4, 8)]) == "a <SECRET> b"
 
 
+def test_op2_joins_over_the_whole_scope(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if x] for r in secrets.op2(spark, str(tmp_path)).collect()}
+    assert got[8] == ["weak_id", "weak_secret"] and got[6] == []  # far apart in one scope; near but in two
+
+
 def test_interval_join_is_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(50):
