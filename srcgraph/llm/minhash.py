@@ -8,17 +8,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._spark import components, cut, lookup, pick
+from ._spark import HOT_SHARE, components, cut, lookup, pick
 from ._text import chunks, hashes, mix, words
 
 #: Sketches in each collection, and minhashes in each sketch. SIDE * SIDE tables need only 2 * SIDE * WIDTH
 #: minhashes. A pair at the threshold 0.85 shares no table with probability 2 * (1 - 0.85**2)**8 = 7e-5.
 SIDE, WIDTH = 8, 2
-#: Of the 32 minhashes so many must agree before sets are compared; at 0.85 fewer do with probability 5e-8.
-AGREE = 16
 #: Up to so many ids (8 bytes each) are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A bucket of more than so many rows (or HOT_SHARE of all) isn't sent to one task. One of DRAWN rows shows which.
+HOT_BUCKET, DRAWN = 200_000, 64
+#: Members that are compared with one copy of their leader's text.
+GROUP = 10_000
+#: Counts of shingles that order them: up to MOST_COUNTS of them (12 bytes each) go to the tasks, without the
+#: small ones as long as these are at most MOST_LIGHT; more are joined by a shuffle.
+MOST_COUNTS, MOST_LIGHT = 1_000_000, 64
 PERCENT = 85
 
 _rng = np.random.default_rng(88)
@@ -56,7 +62,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-SIGNATURE = "doc_id long, n_shingles long, digest binary, u array<long>, v array<long>, mins array<int>"
+SIGNATURE = "doc_id long, n_shingles long, digest binary, mins array<int>"
 
 
 def _signatures(batches):
@@ -70,29 +76,66 @@ def _signatures(batches):
                 flat = np.concatenate([sets[k] for k in full])
                 at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
                 for k in range(len(_XOR)):
-                    mins[full, k] = np.minimum.reduceat(mix((flat ^ _XOR[k]) * _MUL[k]) if k == 0 else (flat ^ _XOR[k]) * _MUL[k], at)
-            sketch = mix(mins.reshape(j - i, 2 * SIDE, WIDTH)[:, :, 0] * np.uint64(3) + mix(mins.reshape(j - i, 2 * SIDE, WIDTH)[:, :, 1])).view(np.int64)
-            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel()))
+                    mins[full, k] = np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], at)
+            short = (mix(mins) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, short.size + 1, short.shape[1]), pa.int32()), pa.array(short.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), lists(sketch[:, :SIDE].copy()), lists(sketch[:, SIDE:].copy()), lists((mix(mins) >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                names=["doc_id", "n_shingles", "digest", "u", "v", "mins"],
+                [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), lists],
+                names=["doc_id", "n_shingles", "digest", "mins"],
             )
 
 
-def _sets(batches):
+def table_keys(classes: DataFrame) -> DataFrame:
+    """(key, rep): SIDE * SIDE table keys of each class, every pair of a sketch of either collection."""
+    sketches = lambda first: F.transform(F.sequence(F.lit(first), F.lit(first + SIDE - 1)), lambda k: F.xxhash64(k, *(F.get("mins", k * WIDTH + w) for w in range(WIDTH))))
+    one = classes.select("rep", F.explode(sketches(0)).alias("x"), sketches(SIDE).alias("v"))
+    return one.select("rep", "x", F.explode("v").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep")
+
+
+def _stars(batches):
+    """(smallest member, other member) of every bucket of rows that are sorted by key and member."""
+    key, lead = None, 0
     for batch in batches:
-        for i, j, data, off in chunks(batch.column(1)):
-            sets = shingle_sets(data, off)
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], names=["id", "shingles"])
+        k, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(k):
+            continue
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        new[0] = key is None or k[0] != key
+        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        leader = np.where(at >= 0, r[np.maximum(at, 0)], lead)
+        key, lead = k[-1], leader[-1]
+        other = leader != r
+        yield pa.RecordBatch.from_arrays([pa.array(leader[other]), pa.array(r[other])], names=["a", "b"])
+
+
+def candidates(classes: DataFrame, total: int) -> DataFrame:
+    """(a, b, n): b shares n buckets whose smallest member is a.
+
+    Key rows are shuffled once and a bucket streams through its task. Buckets of very many rows, at most
+    2 * SIDE**2 / HOT_SHARE, show in a sample; their smallest members are found by partial aggregation and
+    joined by broadcast, so their rows aren't shuffled at all.
+    """
+    limit = max(HOT_BUCKET, int(total * HOT_SHARE))
+    keys = table_keys(classes)
+    hot = cut(keys.where(F.pmod(F.xxhash64(F.lit(8), "rep"), F.lit(DRAWN)) == 0).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit / (2 * DRAWN)).select("key"))
+    cold, pairs = keys, None
+    if hot.count():
+        cold = keys.join(F.broadcast(hot), "key", "left_anti")
+        leaders = cut(keys.join(F.broadcast(hot), "key", "left_semi").groupBy("key").agg(F.min("rep").alias("a")))
+        pairs = keys.join(F.broadcast(leaders), "key").where("rep <> a").select("a", F.col("rep").alias("b"))
+    found = cold.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "a long, b long")
+    return (found.union(pairs) if pairs is not None else found).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Sets of the documents with these ids: (id, shingles). Of repeated ids one row's set."""
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids.withColumnRenamed("id", "doc_id")) if few else ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return cut(wanted.mapInArrow(_sets, "id long, shingles array<long>"))
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents with these ids; each distinct text of a repeated id."""
+    found = cut(docs.withColumnRenamed("doc_id", "id").join(_few(ids), "id", "left_semi"))
+    return cut(found.dropDuplicates(["id", "text"])) if found.count() > ids.count() else found
 
 
 def _with(pairs: DataFrame, side: str, table: DataFrame, columns: list[str], total: int) -> DataFrame:
@@ -102,30 +145,149 @@ def _with(pairs: DataFrame, side: str, table: DataFrame, columns: list[str], tot
     return lookup(pairs, keyed.select(side, "__n", *(F.col(c).alias(f"{c}_{side}") for c in columns)), side, "__n", [f"{c}_{side}" for c in columns], "b" if side == "a" else "a", total)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted hashes) have 100 * intersection >= percent * union."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) * 100 < len(y) * percent or not len(x):
+        return False
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _confirm(percent: int):
+    """Members stream past their leader, which comes first in each group; a group is never held."""
+
+    def run(batches):
+        group, leaders = None, []
+        for batch in batches:
+            a, salt, role, ids = (batch.column(k).to_numpy() for k in range(4))
+            keep = np.zeros(len(a), bool)
+            for i, j, data, off in chunks(batch.column(4)):
+                for k, own in enumerate(shingle_sets(data, off), i):
+                    if group != (a[k], salt[k]):
+                        group, leaders = (a[k], salt[k]), []
+                    if role[k] == 0:
+                        leaders.append(own)
+                    else:
+                        keep[k] = any(similar(x, own, percent) for x in leaders)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(ids[keep])], names=["a", "b"])
+
+    return run
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    The text of a member travels once for each of its pairs and that of a leader once for GROUP members, whose
+    groups are salted, and sets are made again where they are compared.
+    """
+    pairs = cut(pairs.select("a", "b"))
     total = pairs.count()
-    info = classes.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "mins")
-    both = _with(_with(pairs, "a", info, ["n", "mins"], total), "b", info, ["n", "mins"], total)
-    both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    same = F.aggregate(F.zip_with("mins_a", "mins_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    both = cut(both.where(same >= AGREE).select("a", "b", "n_a", "n_b"))
-    total = both.count()
     if not total:
-        return both.select("a", "b")
-    full = _with(_with(both, "a", sets, ["shingles"], total), "b", sets, ["shingles"], total)
-    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return cut(full.select("a", "b", common.alias("c"), "n_a", "n_b").where(100 * F.col("c") >= percent * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b"))
+        return pairs
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    salts = F.ceil(F.col("n") / GROUP).cast("int")
+    members = lookup(pairs, counts, "a", "n", ["n"], "b", total).select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), F.lit(1).alias("role"))
+    leaders = counts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("role"))
+    ready = texts.join(members.union(leaders), "id").select("a", "salt", "role", "id", "text")
+    return cut(ready.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_confirm(percent), "a long, b long"))
+
+
+def _tally(batches):
+    """How many sets of the batch have each shingle, by the upper half of its hash."""
+    for batch in batches:
+        for _, _, data, off in chunks(batch.column(1)):
+            token, count = np.unique(np.concatenate([s >> np.uint64(32) for s in shingle_sets(data, off)] or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.uint32).view(np.int32)), pa.array(count)], names=["half", "n"])
+
+
+def _prefix(n: int, percent: int) -> int:
+    """So many of the first elements of a set of n hold one of any similar enough set."""
+    return n - -(-percent * n // 100) + 1
+
+
+PREFIX = "id long, variant long, n int, token long, place int"
+
+
+def _prefixes(half: np.ndarray | None, count: np.ndarray | None, percent: int):
+    """The rarest shingles of each set and their places from 1; without ``half`` all shingles, without places."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, _, data, off in chunks(batch.column(1)):
+                columns = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int32, np.int64, np.int32)]
+                for k, own in enumerate(shingle_sets(data, off), i):
+                    if not len(own):
+                        continue
+                    n, variant = len(own), int(np.bitwise_xor.reduce(own).view(np.int64))
+                    if half is not None:
+                        own_half, weight = (own >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(n, np.int64)
+                        if len(half):
+                            at = np.minimum(np.searchsorted(half, own_half), len(half) - 1)
+                            weight = np.where(half[at] == own_half, count[at], 0)
+                        own = own[np.lexsort((own.view(np.int64), weight))[: _prefix(n, percent)]]
+                    for c, x in zip(columns, (np.full(len(own), ids[k]), np.full(len(own), variant), np.full(len(own), n, np.int32), own.view(np.int64), np.arange(1, len(own) + 1, dtype=np.int32)), strict=True):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["id", "variant", "n", "token", "place"])
+
+    return run
+
+
+def prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """(id, variant, n, token, place): the rarest shingles of each set, enough for every similar pair to share one.
+
+    Two sets that are similar enough share so much that, in any common order of the shingles, the first few
+    of both can't be apart (prefix filtering). Shingles are ordered by the number of texts that have them, so
+    what a template or a quoted passage brings to very many texts comes last.
+    """
+    counts = cut(texts.mapInArrow(_tally, "half int, n long").groupBy("half").agg(F.sum("n").alias("f")).where("f > 1"))
+    sizes = {r.f: r.n for r in counts.groupBy(F.least("f", F.lit(MOST_LIGHT + 1)).alias("f")).agg(F.count("*").alias("n")).collect()}
+    light = next((k for k in range(1, MOST_LIGHT + 1) if sum(n for f, n in sizes.items() if f > k) <= MOST_COUNTS), None)
+    if light:
+        got = counts.where(F.col("f") > light).orderBy("half").toArrow()  # at most MOST_COUNTS
+        return texts.mapInArrow(_prefixes(got["half"].to_numpy(), got["f"].to_numpy(), percent), PREFIX)
+    every = texts.mapInArrow(_prefixes(None, None, percent), PREFIX).drop("place").withColumn("half", F.shiftright("token", 32).cast("int")).join(counts, "half", "left")
+    place = F.row_number().over(Window.partitionBy("id", "variant").orderBy(F.coalesce("f", F.lit(0)), "token"))
+    return every.withColumn("place", place).where(F.col("place") <= F.expr(f"n - CAST(ceil({percent} * n / 100D) AS INT) + 1")).select("id", "variant", "n", "token", "place")
+
+
+def unresolved(star: DataFrame, parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) that the stars leave open.
+
+    A bucket is open when its members aren't all in one component. Members of open buckets are paired when
+    they are in different components and their prefixes share a shingle, so documents of one template that
+    aren't similar enough give no pairs, however many they are.
+    """
+    total = star.count()
+    placed = cut(_with(_with(star.select("a", "b"), "a", parts, ["component"], total), "b", parts, ["component"], total))
+    far = F.coalesce("component_a", "a") != F.coalesce("component_b", "b")
+    open_ = cut(placed.where(far).select("a").distinct())
+    if not open_.count():
+        return star.select("a", "b").limit(0)
+    inside = placed.join(_few(open_), "a", "left_semi")
+    members = cut(inside.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.coalesce("component_a", "a").alias("component")), F.struct(F.col("b").alias("id"), F.coalesce("component_b", "b").alias("component")))).alias("m")).select("m.*").distinct())
+    own = cut(texts.join(_few(members.select("id")), "id", "left_semi"))
+    rows = cut(prefixes(own, percent).join(members, "id"))
+    one = lambda k: rows.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "variant", "n", "place", "component")))
+    x, y = one("x").where(F.col("place_x") <= F.expr(f"n_x - CAST(ceil({2 * percent} * n_x / {100 + percent}D) AS INT) + 1")), one("y")
+    near = (F.col("component_x") != F.col("component_y")) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") != F.col("id_y")))) & (F.col("n_x") * 100 >= F.col("n_y") * percent)
+    shared = x.join(y, "token").where(near).groupBy("id_x", "variant_x", "id_y", "variant_y").agg(F.count("*").alias("k"), F.max("place_x").alias("px"), F.max("place_y").alias("py"), F.first("n_x").alias("nx"), F.first("n_y").alias("ny"))
+    most = F.col("k") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    found = shared.where(most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    return found.join(star.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Connected groups of documents whose 3-word shingle sets have a Jaccard similarity of percent/100.
 
     Documents with equal sets are one class, represented by its smallest id, before anything is paired. A
-    representative has a key in each table; a bucket gives only pairs with its smallest member. When these
-    are verified, a bucket that still spans several components gives the pairs between its strays and the
-    members of other components, so no link is lost to a dissimilar smallest member, and pairs within a
-    component, which can't change it, are never made. Pairs are confirmed on the full sets of whole texts.
+    representative has a key in each table, and a bucket gives pairs with its smallest member only. Of these a
+    representative's pair with the leader of most of its buckets is verified first, then those that still join
+    different components. Buckets that then span several components give further pairs (``unresolved``), so no
+    link is lost to a dissimilar smallest member. Pairs are confirmed on the full sets of whole texts.
 
     Null and empty texts and those without words have no set, are linked with nothing, and stay. Null ids are
     never linked; they stay with a null component unless their class has an id. Repeated rows with one id share
@@ -136,32 +298,23 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     rows = cut(texts.mapInArrow(_signatures, SIGNATURE))
     total = rows.count()
     filled = rows.where("n_shingles > 0")
-    classes = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("u").alias("u"), F.first("v").alias("v"), F.first("mins").alias("mins")))
+    classes = cut(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("mins").alias("mins")))
     linked = classes.where("rep IS NOT NULL")
-    keys = linked.select("rep", F.posexplode("u").alias("i", "x"), "v").select("rep", "i", "x", F.posexplode("v").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep")
-    buckets = cut(keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).where("a < b"))
-    large = buckets.where("n > 2").select("key", "n", F.col("a").alias("leader"))
-    n_large, key_rows = large.count(), SIDE * SIDE * total
-    if n_large <= BROADCAST_IDS:
-        members = keys.join(F.broadcast(large), "key")
-    else:
-        members = lookup(keys, large, "key", "n", ["leader", "n"], "rep", key_rows).where("leader IS NOT NULL")
-    members = cut(members.select("key", "rep", "leader", "n"))
-    star = cut(buckets.where("n = 2").select("a", "b").union(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))).distinct())
+    sizes = linked.groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    star = cut(candidates(linked, total))
+    star = _with(_with(star, "a", sizes, ["low", "high"], n_star := star.count()), "b", sizes, ["low", "high"], n_star)
+    star = cut(star.select("a", "b", "n", ((F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)).alias("fits")))
     ids = cut(star.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = _of(texts, ids)
-    sets = cut(sets.dropDuplicates(["id"])) if sets.count() > ids.count() else sets
-    links = _verify(star, linked, sets, percent)
-
-    parts = components(links).withColumnRenamed("id", "rep")
-    known = cut(members.join(parts, "rep", "left").select("key", "rep", "leader", "n", F.coalesce("component", "rep").alias("component")))
-    leaders = known.where("rep = leader").select("key", "n", F.col("component").alias("main"))
-    n_known = members.count()
-    placed = lookup(known.drop("n"), leaders, "key", "n", ["main"], "rep", n_known)
-    strays = placed.where("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    cross = strays.join(placed.select("key", F.col("rep").alias("y"), F.col("component").alias("cy")), "key").where("cx <> cy")
-    cross = cut(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    more = _verify(cross, linked, sets, percent)
+    held = _texts(texts, ids)
+
+    best = cut(star.where("fits").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"))
+    links = verify(best, held, percent)
+    parts = cut(components(links))
+    left = star.where("fits").join(best, ["a", "b"], "left_anti").select("a", "b")
+    placed = _with(_with(left, "a", parts, ["component"], n_star), "b", parts, ["component"], n_star)
+    links = links.union(verify(placed.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")), held, percent))
+    parts = cut(components(links))
+    more = verify(unresolved(star, parts, held, percent), held, percent)
 
     final = components(links.union(more)).withColumnRenamed("id", "rep")
     table = classes.select("digest", "rep", "copies").join(final, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component"))
@@ -172,6 +325,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """``near_dedup`` of all documents, at a Jaccard similarity of 0.85."""
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
