@@ -91,24 +91,31 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row], columns=["shard", "sizes", "bits", "rest", "digests", "winners", "counts"])
 
 
-def load_shard(row) -> tuple[PerfectHash, np.ndarray, np.ndarray]:
+def load_shard(row) -> tuple[PerfectHash, np.ndarray, np.ndarray, np.ndarray]:
+    """The hash function and, by slot, digests, winners and counts."""
     sizes = np.frombuffer(row.sizes, np.int64)
     bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), count=int(sizes.sum())).astype(bool)
     rest = np.array([row.rest[k : k + 32] for k in range(0, len(row.rest), 32)], object)
-    return PerfectHash(sizes, bits, rest), np.frombuffer(row.digests, np.uint8).reshape(-1, 32), np.frombuffer(row.winners, np.int64)
+    return PerfectHash(sizes, bits, rest), np.frombuffer(row.digests, np.uint8).reshape(-1, 32), np.frombuffer(row.winners, np.int64), np.frombuffer(row.counts, np.int64)
 
 
 def _probe(batch: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    if not len(batch):
-        return pd.DataFrame({"digest": [], "winner": [], "n": [], "member": []})
-    winner, member = batch["winner"].to_numpy(np.int64).copy(), np.zeros(len(batch), bool)
+    fresh = np.ones(len(batch), bool)
+    parts = []
     if len(index):
-        phf, slots, winners = load_shard(index.iloc[0])
-        digests = _matrix(batch["digest"])
-        at = phf.slot(digests)
-        member = (at >= 0) & (slots[np.maximum(at, 0)] == digests).all(axis=1)
-        winner[member] = np.minimum(winner[member], winners[at[member]])
-    return pd.DataFrame({"digest": batch["digest"], "winner": winner, "n": batch["n"], "member": member})
+        phf, slots, winners, counts = load_shard(index.iloc[0])
+        winners, counts = winners.copy(), counts.copy()
+        if len(batch):
+            digests = _matrix(batch["digest"])
+            at = phf.slot(digests)
+            fresh = (at < 0) | (slots[np.maximum(at, 0)] != digests).any(axis=1)
+            own = at[~fresh]
+            np.minimum.at(winners, own, batch["winner"].to_numpy(np.int64)[~fresh])
+            np.add.at(counts, own, batch["n"].to_numpy(np.int64)[~fresh])
+        parts.append(pd.DataFrame({"digest": [x.tobytes() for x in slots], "winner": winners, "n": counts, "member": True}))
+    if fresh.any():
+        parts.append(batch.loc[fresh, ["digest", "winner", "n"]].assign(member=False))
+    return pd.concat(parts) if parts else pd.DataFrame({"digest": [], "winner": [], "n": [], "member": []})
 
 
 def shard_of(shards: int) -> F.Column:
@@ -126,7 +133,11 @@ def build_index(groups: DataFrame) -> DataFrame:
 
 
 def probe(groups: DataFrame, index: DataFrame) -> DataFrame:
-    """Byte-checked lookups of distinct digests; ``member`` tells known ones, whose winner the slot gives."""
+    """Byte-checked lookups of distinct digests, and all groups that they leave.
+
+    A member adds its rows to its slot, whose winner and count are given back; nonmembers are groups of their
+    own. The two are disjoint, so nothing is grouped again.
+    """
     return groups.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, "digest binary, winner long, n long, member boolean")
 
 
@@ -139,7 +150,7 @@ def exact_dedup(docs: DataFrame, history_below: int | None = None, id_col: str =
 
     Null and empty texts are one group. Repeated rows with the smallest id all stay; null ids never win unless
     a whole group has none, then keep_id is null and all its rows stay. An empty table gives an empty result.
-    Returns doc_id, keep_id, group_size, kept, text_sha256, known (found in the history).
+    Returns doc_id, keep_id, group_size, kept, text_sha256, known (its text is in the history).
     """
     rows = cut(pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), normal_digest(F.col("text")).alias("digest")))
     total, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
@@ -147,15 +158,15 @@ def exact_dedup(docs: DataFrame, history_below: int | None = None, id_col: str =
         history_below = ((low or 0) + (high or 0)) // 2
     shards = max(1, -(-total // shard_digests))
     old = F.coalesce(F.col("doc_id") <= history_below, F.lit(False))
-    history = distinct_digests(rows.where(old), shards)
-    found = probe(distinct_digests(rows.where(~old), shards), build_index(history))
-    groups = cut(history.select("digest", "winner", "n", F.lit(False).alias("member")).unionByName(found).groupBy("digest").agg(F.min("winner").alias("winner"), F.sum("n").alias("group_size"), F.max("member").alias("known")))
+    groups = cut(probe(distinct_digests(rows.where(~old), shards), build_index(distinct_digests(rows.where(old), shards))))
+    groups = groups.select("digest", "winner", F.col("n").alias("group_size"), F.col("member").alias("known"))
     out = lookup(rows, groups, "digest", "group_size", ["winner", "group_size", "known"], "doc_id", total)
     keep = F.when(F.col("winner") < (1 << 63) - 1, F.col("winner"))
     return out.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """``exact_dedup`` of all documents, the older half of the ids as history."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("known")
 
 
