@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,10 +24,22 @@ def _kind(cp: int) -> int:
     return LETTER if c == "L" else NUMBER if c == "N" else OTHER
 
 
+def _read(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _added(path: str) -> dict[bytes, int]:
+    """Tokens that are found in a text before it is split into pieces, and their ids."""
+    found = _read(path).get("added_tokens") or []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens that look at or take in their surroundings")
+    return {t["content"].encode(): t["id"] for t in found}
+
+
 def _merge_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ids of a tokenizer file whose ids follow the order of its merges."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+    model = _read(path)["model"]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain}
     byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -42,6 +55,8 @@ class Bpe:
 
     def __init__(self, path: str, cached: int = 500_000):
         ranks = _merge_ranks(path)
+        self.added = _added(path)
+        self.find_added = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.merge = core.encode_single_piece
         self.table = np.array([_kind(c) for c in range(0x3100)], np.uint8)
@@ -179,7 +194,38 @@ class Bpe:
             yield size, self.ids_[np.repeat(self.start[at] - stop + size, size) + np.arange(stop[-1])]
 
     def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the offsets of the texts in them."""
+        """Ids of all texts one after the other, and the offsets of the texts in them.
+
+        Added tokens are taken out first, leftmost and longest, and what is between them are texts of their own.
+        """
+        raw = data.tobytes()
+        if self.find_added is None or not (found := list(self.find_added.finditer(raw))):
+            return self._plain_ids(data, off)
+        rows = np.searchsorted(off, [m.start() for m in found], "right") - 1
+        found = [(*m.span(), self.added[m.group()]) for m, r in zip(found, rows.tolist(), strict=True) if m.end() <= off[r + 1]]
+        # runs of bytes between the tokens and the rows' ends; a token stands behind its run
+        ends = np.concatenate([off[1:], [a for a, _, _ in found]]).astype(np.int64)
+        order = np.argsort(ends, kind="stable")  # rows that end where a token begins come before it
+        begins = np.concatenate([[0], ends[order][:-1]])
+        after = {k: (b, i) for k, (_, b, i) in enumerate(found, len(off) - 1)}
+        for place, k in enumerate(order[:-1].tolist(), 1):
+            if k in after:
+                begins[place] = after[k][0]
+        kept = [data[a:b] for a, b in zip(begins.tolist(), ends[order].tolist(), strict=True)]
+        flat, at = self._plain_ids(np.concatenate(kept), np.concatenate([[0], np.cumsum([len(k) for k in kept])]))
+        out, size, total = [], [0], 0
+        for place, k in enumerate(order.tolist()):
+            own = flat[at[place] : at[place + 1]]
+            out.append(own)
+            total += len(own)
+            if k in after:
+                out.append(np.array([after[k][1]], flat.dtype))
+                total += 1
+            else:
+                size.append(total)
+        return np.concatenate(out), np.array(size, np.int64)
+
+    def _plain_ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text = data.tobytes().decode("utf-8", "replace")
         cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(cps):

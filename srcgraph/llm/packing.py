@@ -17,6 +17,8 @@ from ._text import chunks
 WINDOW = 1024
 #: Ranks are counted in groups of about so many pieces of one length.
 RANK_ROWS = 500_000
+#: Shares of the window; a plan improves the bins whose gap is at least so large. All plans improve some.
+GAPS = (1024, 128, 32, 16)
 
 
 def _tokens(path: str, window: int, end_id: int, with_ids: bool):
@@ -59,9 +61,9 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, list[t
     """(times, [(length, copies), ...]) of each kind of bin, by best-two-fit.
 
     Replacing pieces in almost full bins may use up small ones that others need more, so the plan is made
-    with several gaps from which on a bin is improved, and the one with the fewest bins is taken.
+    with several gaps from which on a bin is improved (GAPS), and the one with the fewest bins is taken.
     """
-    return min((_plan(counts, window, gap) for gap in (1, window // 32, window // 8, window)), key=lambda kinds: sum(t for t, _ in kinds))
+    return min((_plan(counts, window, max(1, window // share)) for share in GAPS), key=lambda kinds: sum(t for t, _ in kinds))
 
 
 def _plan(counts: dict[int, int], window: int, least_gap: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -179,6 +181,7 @@ def pack_documents(docs: DataFrame, path: str, **options) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """``pack_documents`` of all documents into sequences of 1024 ids."""
     import public_tokenizers
 
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
