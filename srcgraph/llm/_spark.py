@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,14 +29,24 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*(F.col(f"__c{names.index(src)}").alias(out) for out, src in columns.items()))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority of its file system, as every process of the cluster understands it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, or a temporary one on a local master only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
-        return found.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
+        return qualified(spark, found.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="shared-")

@@ -18,6 +18,7 @@ from ._spark import cut, fresh_dir, lookup, pick
 MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES, SPLIT_BYTES = 256 << 20, 32 << 20
 _READ = 1 << 20
+MOST_TASKS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -85,11 +86,15 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, file_bytes: int =
 
 
 class _Reader:
-    """A growing window over a file, for looking at bytes past the end of a split."""
+    """A window over a file that is read forwards; ``base`` is the place of its first byte."""
 
     def __init__(self, stream, start: int):
-        stream.seek(start)
-        self.stream, self.base, self.data = stream, start, b""
+        self.stream = stream
+        self.jump(start)
+
+    def jump(self, to: int):
+        self.stream.seek(to)
+        self.base, self.data = to, b""
 
     def more(self) -> bool:
         got = self.stream.read(_READ)
@@ -100,56 +105,52 @@ class _Reader:
         self.data, self.base = self.data[to - self.base :], to
 
 
-def _member(window: _Reader, at: int) -> tuple[bytes, int] | None:
-    """Content and end of the WARC member at ``at``, or None when the bytes there aren't one."""
-    unpack, used, out = zlib.decompressobj(31), at, []
-    checked = False
-    while True:
-        data = window.data[used - window.base :]
-        if not data:
-            if not window.more():
-                return None
-            continue
-        try:
-            if not checked:
-                head = unpack.decompress(data, 64)
-                out.append(head)
-                used += len(data) - len(unpack.unconsumed_tail) - len(unpack.unused_data)
-                so_far = b"".join(out)
-                if len(so_far) >= 7 or unpack.eof:
-                    if not so_far.startswith(b"WARC/1."):
-                        return None
-                    checked = True
-            else:
+def _member(window: _Reader, at: int) -> bytes | None:
+    """Content of the WARC member at ``at``, with the window moved behind it; None when the bytes there aren't one.
+
+    A member is read in steps that aren't kept, so a very long one costs no more than its length.
+    """
+    window.drop(at)
+    unpack, out, checked, data, end = zlib.decompressobj(31), [], False, window.data, at + len(window.data)
+    try:
+        while not unpack.eof:
+            if not data:
+                data = window.stream.read(_READ)
+                end += len(data)
+                if not data:
+                    break
+            if checked:
                 out.append(unpack.decompress(data))
-                used += len(data) - len(unpack.unused_data)
-        except zlib.error:
-            return None
-        if unpack.eof:
-            return b"".join(out), used
+                data = b""
+            else:
+                out.append(unpack.decompress(data, 64))
+                data = unpack.unconsumed_tail
+                if sum(map(len, out)) >= 7 or unpack.eof:
+                    checked = b"".join(out).startswith(b"WARC/1.")
+                    if not checked:
+                        break
+    except zlib.error:
+        checked = False
+    if not (checked and unpack.eof):
+        window.jump(at + 1)
+        return None
+    window.data, window.base = unpack.unused_data, end - len(unpack.unused_data)
+    return b"".join(out)
 
 
 def members(stream, start: int, end: int):
     """Contents of the members that start in [start, end)."""
-    window, at = _Reader(stream, start), start
-    while at < end:
-        found = window.data.find(MAGIC, at - window.base)
+    window = _Reader(stream, start)
+    while window.base < end:
+        found = window.data.find(MAGIC)
         if found < 0:
-            at = max(at, window.base + len(window.data) - 2)
-            window.drop(at)
+            window.drop(max(window.base, window.base + len(window.data) - 2))
             if not window.more():
                 return
-            continue
-        at = window.base + found
-        if at >= end:
+        elif window.base + found >= end:
             return
-        window.drop(at)
-        got = _member(window, at)
-        if got is None:
-            at += 1
-        else:
-            yield got[0]
-            at = got[1]
+        elif (got := _member(window, window.base + found)) is not None:
+            yield got
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -202,26 +203,28 @@ def read_warc(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES,
     A task looks for the gzip magic in its range, takes a place for a member only when it decodes to a WARC
     header, and owns the records that start in the range, wherever they end. Magic bytes within compressed
     data don't decode and are passed over. Response payloads are checked against their digest and length.
+    There are as many tasks as ranges, up to MOST_TASKS.
     """
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
+    last = F.greatest(F.col("bytes") - 1, F.lit(0))
+    count = manifest.agg(F.coalesce(F.sum(F.expr(f"CAST(greatest(bytes - 1, 0) DIV {split_bytes} AS BIGINT) + 1")), F.lit(0))).first()[0]
+    at = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(split_bytes).cast("long")))
     ranges = manifest.select("path", "bytes", at.alias("start")).select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(_splits(folder, payload), SCHEMA)
+    return ranges.repartition(min(MOST_TASKS, max(1, count))).mapInArrow(_splits(folder, payload), SCHEMA)
 
 
-def archive(pages: DataFrame, folder: str, **options) -> DataFrame:
+def archive(pages: DataFrame, folder: str, payload: bool = True, **options) -> DataFrame:
     """Write pages and read them back.
 
     Null html is an empty payload, and empty payloads are deduplicated like others. A null id is kept and never a response
     that others refer to, unless its group has no other id. Repeated rows are a record each; those with the
     smallest id of the group are all responses. Null urls are written empty. An empty table writes no file.
     """
-    return read_warc(write_warc(pages, folder, **options), folder)
+    return read_warc(write_warc(pages, folder, **options), folder, payload=payload)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    folder = fresh_dir(spark, "warc")
-    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_warc(manifest, folder, payload=False).drop("payload")
+    """``archive`` of all pages: a record each, and what is read back of it, without the payload."""
+    return archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), fresh_dir(spark, "warc"), payload=False).drop("payload")
 
 
 OP9_SQL = """
