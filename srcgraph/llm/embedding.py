@@ -7,16 +7,20 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import components, cut, lookup, pick
 
 COSINE = 0.93
-#: Vectors that a graph is built over, clusters that a vector belongs to, and the most clusters of all labels.
-SHARD, OVERLAP, MOST_CLUSTERS = 2500, 3, 4096
-#: Vectors that the clusters are fitted on.
-SAMPLE = 50_000
+#: Vectors of a cluster on average, clusters that a vector belongs to, and the most vectors that a graph is built over.
+CLUSTER, OVERLAP, SHARD = 500, 3, 2500
+#: Clusters of all labels that are fitted at once; larger ones are split again, each into at most SPLIT, with
+#: SPLIT_OVERLAP of these for each vector, up to LEVELS times.
+MOST_CLUSTERS, SPLIT, SPLIT_OVERLAP, LEVELS = 4096, 256, 2, 3
+#: Vectors, and bytes of them, that the clusters of all labels are fitted on; vectors that a split is fitted on.
+SAMPLE, SAMPLE_BYTES, SPLIT_SAMPLE = 50_000, 64 << 20, 8000
 DEGREE, POOL, ALPHA, BEAM = 24, 48, 1.2, 48
 #: Queries that the recall is audited with, the recall that is asked for, and rounds with a doubled beam.
 AUDIT, RECALL, ROUNDS = 1000, 0.98, 3
@@ -34,68 +38,112 @@ def unit(e: np.ndarray) -> np.ndarray:
 def _keys(batches):
     for batch in batches:
         ids, vectors, labels = (batch.column(k) for k in range(3))
-        key, e = [], []
-        for v, label in zip(vectors.to_pylist(), labels.to_pylist(), strict=True):
-            good = label is not None and v and None not in v
-            x = np.asarray(v, np.float64) if good else None
-            if good and np.isfinite(x).all() and x.any():
-                x = x + 0.0
-                key.append(hashlib.blake2b(x.tobytes(), digest_size=16, key=str(label).encode()[:64]).digest())
-                e.append(x)
-            else:
-                key.append(None)
-                e.append(None)
-        yield pa.RecordBatch.from_arrays([ids, labels, pa.array(key, pa.binary()), pa.array(e, pa.list_(pa.float64()))], names=["vec_id", "label", "key", "e"])
+        flat = vectors.values.to_numpy(zero_copy_only=False) + 0.0  # a null component becomes NaN
+        off, missing = vectors.offsets.to_numpy(), (pc.is_null(c).to_numpy(zero_copy_only=False) for c in (vectors, labels))
+        count = lambda ok: np.diff(np.concatenate([[0], np.cumsum(ok)])[off])
+        size = np.diff(off)
+        good = (count(np.isfinite(flat)) == size) & (count(flat != 0) > 0) & ~np.logical_or(*missing)
+        key = [hashlib.blake2b(flat[off[k] : off[k + 1]].tobytes(), digest_size=16, key=str(labels[k]).encode()[:64]).digest() if good[k] else None for k in range(len(ids))]
+        kept = pa.array(np.where(good, np.arange(len(ids)), 0), mask=~good)
+        e = pa.ListArray.from_arrays(vectors.offsets, pa.array(flat)).take(kept)
+        yield pa.RecordBatch.from_arrays([ids, labels, pa.array(key, pa.binary()), e], names=["vec_id", "label", "key", "e"])
 
 
 def _stack(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
+def centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Spherical k-means on rows of length 1."""
+    centres = x[rng.permutation(len(x))[:k]]
+    for _ in range(8):
+        own = (x @ centres.T).argmax(axis=1)
+        new = np.zeros_like(centres)
+        np.add.at(new, own, x)
+        norm = np.sqrt((new * new).sum(axis=1, keepdims=True))
+        centres = np.where(norm > 1e-6, new / np.maximum(norm, 1e-6), centres)
+    return centres
+
+
 def fit_clusters(classes: DataFrame, seed: int = 5) -> dict[tuple[int, int], np.ndarray]:
-    """Centroids of each label and dimension with more than SHARD vectors, by spherical k-means on a sample."""
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).orderBy(F.desc("n"), "label", "dim").limit(MOST_CLUSTERS).collect()
+    """Centroids of each label and dimension with more than CLUSTER vectors, fitted on a sample."""
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > CLUSTER).orderBy(F.desc("n"), "label", "dim").limit(MOST_CLUSTERS).collect()
     total = sum(r.n for r in sizes)
     if not total:
         return {}
-    scale = min(1.0, MOST_CLUSTERS * SHARD / (1.25 * OVERLAP * total))
-    wanted = {(r.label, r.dim): max(1, round(1.25 * OVERLAP * r.n * scale / SHARD)) for r in sizes}
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) < min(1.0, SAMPLE / total) * (1 << 30)
-    table = classes.where(drawn).limit(2 * SAMPLE).select("label", "dim", "rep", "e").toPandas().sort_values("rep")
+    scale = min(1.0, MOST_CLUSTERS * CLUSTER / (OVERLAP * total))
+    wanted = {(r.label, r.dim): max(1, round(OVERLAP * r.n * scale / CLUSTER)) for r in sizes}
+    most = min(SAMPLE, SAMPLE_BYTES // (8 * max(r.dim for r in sizes)))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 30)) < min(1.0, most / total) * (1 << 30)
+    table = classes.where(drawn).limit(2 * most).select("label", "dim", "rep", "e").toPandas().sort_values("rep")
     out, rng = {}, np.random.default_rng(seed)
     for group, pdf in table.groupby(["label", "dim"]):
-        k = min(wanted.get(group, 1), len(pdf))
-        if k < 2:
-            continue
-        x = unit(_stack(pdf["e"])).astype(np.float32)
-        centres = x[rng.permutation(len(x))[:k]]
-        for _ in range(8):
-            own = (x @ centres.T).argmax(axis=1)
-            new = np.zeros_like(centres)
-            np.add.at(new, own, x)
-            norm = np.sqrt((new * new).sum(axis=1, keepdims=True))
-            centres = np.where(norm > 1e-6, new / np.maximum(norm, 1e-6), centres)
-        out[(int(group[0]), int(group[1]))] = centres
+        if (k := min(wanted.get(group, 1), len(pdf))) > 1:
+            out[(int(group[0]), int(group[1]))] = centroids(unit(_stack(pdf["e"])).astype(np.float32), k, rng)
     return out
 
 
+def _nearest(own: pd.DataFrame, centres: np.ndarray, overlap: int) -> list[pd.DataFrame]:
+    near = np.argsort(-(unit(_stack(own["e"])).astype(np.float32) @ centres.T), axis=1, kind="stable")[:, :overlap]
+    return [own.assign(cluster=near[:, k].astype(np.int64)) for k in range(near.shape[1])]
+
+
 def _assign(centres: dict[tuple[int, int], np.ndarray], overlap: int):
     def run(frames):
         for pdf in frames:
             parts = []
             for group, own in pdf.groupby(["label", "dim"]):
                 c = centres.get((int(group[0]), int(group[1])))
-                if c is None:
-                    parts.append(own.assign(cluster=0))
-                    continue
-                near = np.argsort(-(unit(_stack(own["e"])).astype(np.float32) @ c.T), axis=1, kind="stable")[:, :overlap]
-                parts += [own.assign(cluster=near[:, k].astype(np.int32)) for k in range(near.shape[1])]
+                parts += [own.assign(cluster=0)] if c is None else _nearest(own, c, overlap)
             if parts:
                 yield pd.concat(parts)
 
     return run
 
 
+GROUP = ["label", "dim", "cluster"]
+PLACED = CLASS + ", cluster long"
+
+
+def _fit_split(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("rep")
+    x = unit(_stack(pdf["e"])).astype(np.float32)
+    k = min(SPLIT, len(pdf), int(pdf["n"].iloc[0]) * SPLIT_OVERLAP // CLUSTER + 1)
+    return pdf[GROUP].head(1).assign(centres=[centroids(x, k, np.random.default_rng(5)).tobytes()])
+
+
+def _split(rows: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+    rows = rows[["label", "dim", "rep", "copies", "e", "cluster"]]
+    if not len(rows) or not len(fitted):
+        return rows
+    centres = np.frombuffer(fitted["centres"].iloc[0], np.float32).reshape(-1, int(rows["dim"].iloc[0]))
+    return pd.concat([p.assign(cluster=rows["cluster"].to_numpy() * SPLIT + p["cluster"].to_numpy() + MOST_CLUSTERS) for p in _nearest(rows, centres, SPLIT_OVERLAP)])
+
+
+def place(classes: DataFrame, centres: dict[tuple[int, int], np.ndarray], overlap: int = OVERLAP) -> DataFrame:
+    """A row for each vector and cluster that it belongs to, its nearest ones.
+
+    A cluster that is too large for one graph, as the number of centroids is bounded, is split by centroids
+    fitted on a sample of its own, and so on, so clusters stay small however many vectors there are. What
+    no centroid divides is left to hashed parts.
+    """
+    placed = cut(classes.mapInPandas(_assign(centres, overlap), PLACED))
+    for _ in range(LEVELS):
+        large = cut(placed.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > SHARD))
+        if not (count := large.count()):
+            break
+        large = F.broadcast(large) if count <= 100_000 else large
+        inside = placed.join(large, GROUP)
+        drawn = F.pmod(F.xxhash64(F.lit(6), "rep"), F.lit(1 << 30)) < F.least(F.lit(1.0), SPLIT_SAMPLE / F.col("n")) * (1 << 30)
+        fitted = cut(inside.where(drawn).groupBy(*GROUP).applyInPandas(_fit_split, "label long, dim int, cluster long, centres binary"))
+        salts = F.ceil(F.col("n") / (4 * SHARD)).cast("int")
+        salted = inside.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
+        each = fitted.join(large, GROUP).select(*GROUP, "centres", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        split = salted.groupBy(*GROUP, "salt").cogroup(each.groupBy(*GROUP, "salt")).applyInPandas(_split, PLACED)
+        placed = cut(placed.join(large, GROUP, "left_anti").unionByName(split))
+    return placed
+
+
 def robust_graph(x: np.ndarray, seed: int = 3) -> np.ndarray:
     """Neighbours of each row (padded with -1): a robust-pruned pool of near and random rows, both ways.
 
@@ -267,17 +315,16 @@ def _search(cosine: float, beam: int):
 def find_pairs(classes: DataFrame, centres: dict[tuple[int, int], np.ndarray], cosine: float = COSINE, beam: int = BEAM, overlap: int = OVERLAP) -> DataFrame:
     """Verified pairs (a, b) of class representatives.
 
-    Vectors go to their ``overlap`` nearest clusters and are searched for in all of them. A cluster with more
-    than SHARD vectors is hashed into parts; graphs are built over parts, the adjacency lists of a vector are
+    Vectors go to their ``overlap`` nearest clusters and are searched for in all of them. A cluster that still has
+    more than SHARD vectors is hashed into parts; graphs are built over parts, the adjacency lists of a vector are
     united over its parts, and the cluster's queries search every part in blocks, so neither a graph nor a
     block outgrows a task.
     """
-    placed = cut(classes.mapInPandas(_assign(centres, overlap), CLASS + ", cluster int"))
-    group = ["label", "dim", "cluster"]
+    placed, group = place(classes, centres, overlap), GROUP
     parts = placed.groupBy(*group).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     sized = lookup_parts(placed, parts, group).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     graphs = sized.groupBy(*group, "part").applyInPandas(_build, "rep long, near array<long>")
-    near = cut(graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # OVERLAP lists at most
+    near = cut(graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # a list for each cluster of the vector
     full = sized.join(near, "rep")
     each = F.sequence(F.lit(0), F.col("parts") - 1)
     as_index = F.transform(each, lambda k: F.struct(F.col("part").alias("p"), k.alias("block"), F.lit(True).alias("is_index"), (k == F.col("part")).alias("is_query")))
@@ -398,6 +445,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, beam: int = BEAM
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """``embedding_dedup`` of all embeddings, at a cosine of 0.93."""
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
