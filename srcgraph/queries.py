@@ -5,6 +5,7 @@ Every query runs over its whole tables. Result columns have the same names on bo
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -682,8 +683,15 @@ def retry_rules(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _more()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(SQL)
+
+
+def _more() -> None:
+    """The modules that register queries here."""
+    importlib.import_module("srcgraph.queries_java")
