@@ -58,9 +58,9 @@ def _safe(name: str) -> str:
     return str(path)
 
 
-def _decode(content) -> F.Column:
-    """UTF-8 with broken sequences replaced."""
-    return F.decode(content, "UTF-8")
+def decoded(content) -> F.Column:
+    """UTF-8 with broken sequences replaced; nothing raises."""
+    return F.make_valid_utf8((F.col(content) if isinstance(content, str) else content).cast("string"))
 
 
 def local_files(spark: SparkSession, root: str, glob: str = "*.java") -> DataFrame:
@@ -69,7 +69,7 @@ def local_files(spark: SparkSession, root: str, glob: str = "*.java") -> DataFra
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(base)
     plain = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/*", "/")
     prefix = "/" + base.split("://", 1)[1].strip("/") + "/"
-    return rows.select(F.substr(plain, F.lit(len(prefix) + 1)).alias("path"), _decode("content").alias("text"))
+    return rows.select(F.substr(plain, F.lit(len(prefix) + 1)).alias("path"), decoded("content").alias("text"))
 
 
 def _unzip(suffix: str):

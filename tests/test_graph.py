@@ -316,3 +316,28 @@ def test_spread_closes_long_paths(spark):
     vertices = spark.createDataFrame([(k,) for k in [*range(1, 61), 100, 101, 200]], "id long")
     got = {r.id: r.component for r in components.spread(edges, vertices).collect()}
     assert set(got[k] for k in range(1, 61)) == {1} and got[101] == 100 and got[200] == 200
+
+
+def brute_components(rows):
+    """Of (class, name, fields, callees), the groups of each class, every row a method of its own."""
+    out = {}
+    for c in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == c]
+        low = list(range(len(own)))
+        for _ in own:
+            for a, x in enumerate(own):
+                for b, y in enumerate(own):
+                    if a != b and (set(x[2]) & set(y[2]) or y[1] in x[3] or x[1] in y[3]):
+                        low[a] = low[b] = min(low[a], low[b])
+        out[c] = (len(own), len(set(low)))
+    return out
+
+
+@pytest.mark.parametrize("most", [5000, 2])
+def test_overloads_are_methods_of_their_own(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "MOST_METHODS", most)
+    rows = [(1, "get", ["a"], []), (1, "get", ["a"], []), (1, "put", ["b"], []), (2, "get", [], []), (2, "get", [], []), (2, "put", [], []), (3, "get", [], ["get"]), (3, "get", [], ["get"]), (4, "get", [], []), (4, "get", [], []), (4, "put", [], ["get"]), (5, "get", [], ["put"]), (5, "get", [], ["put"]), (5, "put", [], []), (6, "x", [], ["nowhere"]), (6, "x", [], ["nowhere"])]
+    rng = random.Random(5)
+    rows += [(10 + k % 7, f"m{rng.randrange(5)}", rng.sample("abcdefgh", rng.randrange(3)), rng.sample(["m1", "m2", "q"], rng.randrange(2))) for k in range(60)]
+    df = spark.createDataFrame(rows, "class_id int, name string, accessed_fields array<string>, callees array<string>")
+    assert {r.class_id: (r.methods, r.components) for r in components.class_components(df).collect()} == brute_components(rows)

@@ -241,3 +241,10 @@ def test_manifest(spark, tmp_path):
     row = readers.manifest(spark, str(tmp_path / "manifest.json")).first()
     assert (row.run_id, row.artefacts["graph"].sha256) == ("r", "s")
     assert datetime.now(UTC).year >= 2024
+
+
+def test_broken_bytes_are_replaced(spark, tmp_path):
+    (tmp_path / "A.java").write_bytes(b"class A { \xff\xe9 }")
+    (tmp_path / "B.java").write_bytes("class B { é }".encode())
+    got = {r.path: r.text for r in acquire.local_files(spark, str(tmp_path)).collect()}
+    assert got == {"A.java": b"class A { \xff\xe9 }".decode(errors="replace"), "B.java": "class B { é }"}
