@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from srcgraph.functions import keys, text
 from srcgraph.operators import assemble, cache, canonical, estimate, policy, quality, regex_extract, select, telemetry
 from srcgraph.operators.components import class_components
+from srcgraph.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -384,9 +385,9 @@ a AS (SELECT id, any_value(k) AS k, count(*) AS n, count(*) FILTER (result = 'pa
 
 
 @query(REPORT_SQL + """SELECT 'graph' AS scorecard_kind, id, 'graph' AS category, CASE k WHEN 0 THEN 'boolean' WHEN 1 THEN 'min_ratio' ELSE 'max_count' END AS threshold_kind, overall_result,
-CASE WHEN k = 0 THEN passes END AS pass_count, CASE WHEN k = 0 THEN n END AS total, CASE WHEN k = 1 THEN lo END AS min, CASE WHEN k > 0 THEN hi END AS max, CASE WHEN k = 2 THEN s END AS sum FROM a""")
+CASE WHEN k = 0 THEN passes END AS pass_count, CASE WHEN k = 0 THEN n END AS total, CASE WHEN k = 1 THEN round(m, 6) END AS mean, CASE WHEN k = 1 THEN lo END AS min, CASE WHEN k > 0 THEN hi END AS max, CASE WHEN k = 2 THEN s END AS sum FROM a""")
 def eval_report(t):
-    return quality.report(_checks(t)).drop("mean")
+    return quality.report(_checks(t)).withColumn("mean", F.round("mean", 6))
 
 
 @query(REPORT_SQL + "SELECT CASE WHEN bool_or(overall_result = 'fail') AND bool_or(overall_result = 'pass') THEN 'mixed' WHEN bool_or(overall_result = 'fail') THEN 'fail' ELSE 'pass' END AS overall FROM a")
@@ -471,15 +472,15 @@ def cache_key(t):
     return t.documents.select("doc_id", keys.cache_key("source", "lang", F.lit("p"), F.lit("v1"), F.lit("h"), keys.text_hash("text"), F.lit("s"), F.lit(100)).alias("cache_key"), keys.text_hash("text").alias("input_hash"))
 
 
-@query(TELEMETRY_SQL + """, c AS (SELECT prompt AS cache_key, max(t0) AS created_at, arg_max(seq, (t0, seq)) AS seq FROM t WHERE seq % 3 = 0 GROUP BY prompt),
+@query(TELEMETRY_SQL + """, o AS (SELECT prompt AS cache_key, arg_max(seq, (t0, seq)) AS seq FROM t WHERE seq % 6 = 0 GROUP BY prompt), w AS (SELECT prompt AS cache_key, arg_max(seq, (t0, seq)) AS seq FROM t WHERE seq % 6 = 3 AND k % 2 = 0 GROUP BY prompt),
+c AS (SELECT coalesce(w.cache_key, o.cache_key) AS cache_key, coalesce(w.seq, o.seq) AS seq FROM o FULL JOIN w ON o.cache_key = w.cache_key),
 r AS (SELECT prompt, count(*) AS n FROM t WHERE seq % 3 <> 0 GROUP BY prompt)
 SELECT coalesce(cache_key, prompt) AS cache_key, seq AS cached_seq, coalesce(n, 0) AS requests FROM c FULL JOIN r ON cache_key = prompt""")
 def response_cache(t):
-    """Upsert of the calls by prompt, then lookup of the other calls."""
+    """Upsert of the calls by prompt over older entries, of which some are replaced, then lookup of the other calls."""
     rows = _telemetry(t).withColumn("cache_key", telemetry.prompt_key())
-    stored = rows.where("seq % 3 = 0").select("cache_key", F.col("at").alias("created_at"), "seq")
-    latest = assemble.first_wins(stored.withColumns({"__t": -F.unix_micros("created_at"), "__s": -F.col("seq")}), ["cache_key"], ["__t", "__s"]).select("cache_key", "created_at", "seq")
-    table = cache.upsert(latest.limit(0), latest)
+    latest = lambda stored: assemble.first_wins(stored.select("cache_key", F.col("at").alias("created_at"), "seq").withColumns({"__t": -F.unix_micros("created_at"), "__s": -F.col("seq")}), ["cache_key"], ["__t", "__s"]).select("cache_key", "created_at", "seq")
+    table = cache.upsert(latest(rows.where("seq % 6 = 0")), latest(rows.where("seq % 6 = 3 AND tokens % 2 = 0")))
     asked = rows.where("seq % 3 <> 0").groupBy("cache_key").agg(F.count("*").alias("requests"))
     hits, misses = cache.split(asked, table.select("cache_key", F.col("seq").alias("cached_seq")))
     unused = table.join(asked, "cache_key", "left_anti").select("cache_key", F.col("seq").alias("cached_seq"), F.lit(0).cast("long").alias("requests"))
@@ -535,7 +536,7 @@ def corpus_graph_kinds(t):
     """From source text to the assembled graph, counted by kind of node."""
     from srcgraph.plans.pipeline import graph_of
 
-    nodes, _ = graph_of(regex_extract.extract(_sources(t)))
+    nodes, _ = graph_of(durable(regex_extract.extract(_sources(t))))
     return nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -603,15 +604,16 @@ def wmc_cbo(t):
 
 
 @query("""
-WITH RECURSIVE m AS (SELECT DISTINCT s_nationkey AS n, s_suppkey AS s, l_partkey AS p FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity >= 49),
-e AS (SELECT DISTINCT a.n, a.s AS a, b.s AS b FROM m a JOIN m b ON a.n = b.n AND a.p = b.p AND a.s <> b.s),
+WITH RECURSIVE m AS (SELECT DISTINCT s_nationkey AS n, s_suppkey AS s, l_partkey AS p, l_quantity AS q FROM supplier JOIN lineitem ON l_suppkey = s_suppkey ),
+e AS (SELECT DISTINCT a.n, a.s AS a, b.s AS b FROM m a JOIN m b ON a.n = b.n AND a.p = b.p AND a.q = b.q AND a.s <> b.s),
 r(id, low) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.id WHERE r.low < e.b),
 c AS (SELECT id, min(low) AS low FROM r GROUP BY id)
 SELECT s_nationkey AS class_id, count(*) AS methods, count(DISTINCT low) AS components FROM supplier JOIN c ON c.id = s_suppkey GROUP BY s_nationkey
 """)
 def lcom_components(t):
-    """Suppliers as methods of their nation's class; parts sold in large lots are the fields that they share."""
-    used = t.lineitem.where("l_quantity >= 49").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("accessed"))
+    """Suppliers as methods of their nation's class; lots, a part in a quantity, are the fields that they share."""
+    lot = F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    used = t.lineitem.groupBy("l_suppkey").agg(F.collect_set(lot).alias("accessed"))
     rows = t.supplier.join(used, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     empty = F.array().cast("array<string>")
     return class_components(rows.select(F.col("s_nationkey").alias("class_id"), F.col("s_suppkey").cast("string").alias("name"), F.coalesce("accessed", empty).alias("accessed_fields"), empty.alias("callees"))).select("class_id", "methods", "components")
@@ -694,4 +696,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _more() -> None:
     """The modules that register queries here."""
-    importlib.import_module("srcgraph.queries_java")
+    for name in ("queries_java", "queries_services"):
+        importlib.import_module(f"srcgraph.{name}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.operators import build, java_scan
 from srcgraph.queries import Tables, query
+from srcgraph.session import durable
 
 _SERVICE = '''package shop.s$size;
 
@@ -309,7 +310,7 @@ def _more_files(t: Tables) -> DataFrame:
 def _whole(t: Tables) -> tuple[DataFrame, DataFrame]:
     from srcgraph.plans.pipeline import graph_of
 
-    return graph_of(java_scan.extract(_files(t).union(_more_files(t))))
+    return graph_of(durable(java_scan.extract(_files(t).union(_more_files(t)))))
 
 
 @query(JAVA_SQL + _METHODS_SQL + _PARAMETERS_SQL + """, r AS (SELECT method_id AS source, k, id, dep, name FROM y WHERE form = 'service' AND method = 'find'), o AS (SELECT id || '#make()' AS source, method_id AS target FROM y WHERE form = 'service' AND method = 'find')
