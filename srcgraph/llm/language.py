@@ -6,13 +6,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._spark import pick
+from ._spark import cut, pick
 from ._text import buffers, chunks
 
 UNKNOWN = "und"
 #: Documents per language that the model is fitted on, and the most languages.
 SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 600, 1000
+#: UTF-8 bytes of all documents that the model is fitted on, at most.
+SAMPLE_BYTES = 64 << 20
 #: Hashed n-gram presence slots of length 1, 2 and 3 bytes.
 SIZES = (256, 4096, 12288)
 LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS = 32, 512
@@ -140,20 +143,38 @@ def held_out(fold: int, folds: int) -> F.Column:
 
 
 def fit_language(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on about ``sample`` documents of each language, chosen by a hash of their ids; null ids aren't used."""
+    """Fit on about ``sample`` documents of each language, chosen by a hash of their ids; null ids aren't used.
+
+    All languages are learnt; with more than MOST_LANGUAGES of them, those with the most documents.
+    """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(0, 5))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return LanguageModel.fit([], [])
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    got = rows.where(drawn).limit(2 * sample * len(counts)).collect()
+    turn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    drawn = rows.where(turn < share[F.col("lang")] * (1 << 30)).limit(2 * sample * len(counts))
+    got = within(drawn, turn, SAMPLE_BYTES, "lang").collect()
     got.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return LanguageModel.fit([r.text for r in got], [r.lang for r in got], seed)
 
 
+def within(drawn: DataFrame, turn: F.Column, most_bytes: int, column: str) -> DataFrame:
+    """The drawn ``(doc_id, text, column)`` whose whole texts have at most ``most_bytes`` together, in hashed order.
+
+    Only ids and lengths reach the driver first. A text that doesn't fit any more is passed over, so a few very
+    long ones don't keep all others out.
+    """
+    drawn = cut(drawn.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), column, turn.alias("__turn")))
+    chosen, held = [], 0
+    for r in sorted(drawn.select("doc_id", "__turn", F.octet_length("text").alias("n")).collect(), key=lambda r: (r["__turn"], r.doc_id, r.n)):
+        if held + r.n <= most_bytes:
+            held += r.n
+            chosen.append((r.doc_id, r.n))
+    keep = drawn.sparkSession.createDataFrame(sorted(set(chosen)) or [(None, None)], T.StructType([T.StructField("doc_id", drawn.schema["doc_id"].dataType), T.StructField("__n", T.IntegerType())]))
+    return drawn.join(F.broadcast(keep), (drawn["doc_id"] == keep["doc_id"]) & (F.octet_length("text") == F.col("__n")), "left_semi").drop("__turn")  # as many as drawn
+
+
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred and score, from the text alone, to the columns ``keep``.
 
@@ -168,6 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """``identify`` all documents by what ``fit_language`` learns outside the held-out fifth."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs.select("doc_id", "text"), fit_language(docs), keep=["doc_id"])
     return out.select("doc_id", held_out(0, 5).alias("held_out"), "lang_pred", "score")

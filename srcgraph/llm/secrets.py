@@ -167,6 +167,7 @@ def base_digest(spans: list[dict]) -> str:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """``scan`` all documents, parts of a credential joined over whole scopes."""
     rows = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), reach=None)
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

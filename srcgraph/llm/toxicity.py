@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ._spark import pick
 from ._text import chunks, hash_words, hashes
-from .language import held_out
+from .language import held_out, within
 
 #: Labelled documents that lexicon, trees and calibration are fitted on.
 SAMPLE = 12_000
+#: UTF-8 bytes of these documents, at most.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.7
 #: A lexicon entry is a word or word prefix that at least so many toxic documents of the sample have.
 SUPPORT, LEAST_ODDS, ENTRIES = 4, 2.0, 4000
@@ -293,7 +295,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed:
     chosen = {r.doc_id: r.y for r in drawn.collect()}  # at most twice ``sample`` pairs of integers
     texts = pick(docs, doc_id=id_col, text=text_col)
     small = texts.sparkSession.createDataFrame(list(chosen.items()) or [(None, None)], "doc_id long, y int")
-    got = texts.join(F.broadcast(small), "doc_id").limit(2 * sample).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toArrow()
+    turn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    got = within(texts.join(F.broadcast(small), "doc_id").limit(2 * sample), turn, SAMPLE_BYTES, "y").select("doc_id", "text", "y").toArrow()
     got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending"), ("text", "ascending")]))
     return ToxicityModel.fit(got["text"].to_pylist(), got["y"].to_pylist(), seed)
 
@@ -312,6 +315,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """``score`` all documents by what ``fit_toxicity`` learns outside the held-out third."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score(docs.select("doc_id", "text"), model, keep=["doc_id"])
