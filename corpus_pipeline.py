@@ -75,9 +75,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring the sources to their target weights: a document appears once for each time it is taken.
 
     One that is taken in part appears with its first words, joined by single spaces, and with their length as
-    n_chars. One that isn't taken goes. Repeated rows with one id and size are all taken as the most taken one.
+    n_chars. One that isn't taken goes. Rows with one id and size share equally what is taken of them.
     """
-    rows = cut(mix(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken")).where("taken > 0"))
+    rows = cut(mix(docs).groupBy("doc_id", "size").agg(F.expr("sum(taken) DIV count(*)").alias("taken")).where("taken > 0"))
     rows = rows.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     plain, doc_id, text = _plain(docs)
     size = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
