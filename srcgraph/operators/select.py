@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from srcgraph.functions.text import group_after, package_of
 from srcgraph.schemas import RENDERABLE
+from srcgraph.session import durable
 
 CAP, HIGH_CBO, HIGH_WMC, LOW_CBO, LOW_WMC = 3, 5, 20, 1, 5
 
@@ -66,23 +67,47 @@ def bucket(cbo: Column, wmc: Column) -> Column:
     return F.when(known & ((cbo >= HIGH_CBO) | (wmc >= HIGH_WMC)), "high").when(known & (cbo <= LOW_CBO) & (wmc <= LOW_WMC), "low").otherwise("mid")
 
 
+#: The largest group that a window may hold in one task.
+MOST_IN_WINDOW = 1_000_000
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str, largest: int) -> DataFrame:
+    """Add the place of each row in its group, from 1, in ascending order.
+
+    Where a group is too large for one task, rows are range-partitioned by group and order, so it spans many
+    tasks; each numbers its own stretch, and the lengths of the stretches before are added.
+    """
+    if largest <= MOST_IN_WINDOW:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    own = [f"__o{k}" for k in range(len(order))]
+    plain = rows.withColumns(dict(zip(own, order, strict=True)))
+    parts = durable(plain.repartitionByRange(*keys, *own).withColumn("__p", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.groupBy(*keys, "__p").agg(F.count("*").alias("__c")).select(*keys, "__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    joined = parts.join(shift, [*keys, "__p"])
+    place = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*own)) + F.col("__before")
+    return joined.withColumn(name, place.cast("int")).drop("__p", "__before", *own)
+
+
 def ladder(members: DataFrame, cap: int = CAP, group: str = "group_name", order: str = "id") -> DataFrame:
     """Mark what each group keeps within its cap.
 
     Up to ``cap`` members all stay; below twice that the largest by WMC; else one after the other from the
-    high, mid and low buckets, each by WMC. Null WMC comes last, ties go by ``order``. Adds strategy, bucket,
+    high, mid and low buckets, each by WMC. Null WMC comes last, ties go by ``order``; members without a group
+    are left out. Adds strategy, bucket,
     rank (place in the selection order of the group) and selected.
     """
-    w = Window.partitionBy(group)
-    wmc = F.col("wmc").desc_nulls_last()
-    rows = members.withColumn("__n", F.count("*").over(w)).withColumn("__b", bucket(F.col("cbo"), F.col("wmc")))
+    # nulls last and large first, as an ascending pair
+    wmc = [F.col("wmc").isNull(), -F.col("wmc")]
+    sizes = members.groupBy(group).agg(F.count("*").alias("__n"))
+    largest = sizes.agg(F.max("__n")).first()[0] or 0
+    rows = members.join(sizes, group).withColumn("__b", bucket(F.col("cbo"), F.col("wmc")))
     strategy = F.when(F.col("__n") <= cap, "take_all").when(F.col("__n") < 2 * cap, "top_n_v1").otherwise("stratified_threshold_v1")
     place = F.when(F.col("__b") == "high", 0).when(F.col("__b") == "mid", 1).otherwise(2)
-    rows = rows.withColumns({"strategy": strategy, "__turn": F.row_number().over(Window.partitionBy(group, "__b").orderBy(wmc, order))})
-    first = F.when(F.col("strategy") == "stratified_threshold_v1", F.col("__turn")).otherwise(0)
-    second = F.when(F.col("strategy") == "stratified_threshold_v1", place).otherwise(0)
-    by = [first, second, F.when(F.col("strategy") == "take_all", F.lit(None)).otherwise(F.col("wmc")).desc_nulls_last(), order]
-    rows = rows.withColumn("rank", F.row_number().over(w.orderBy(*by)))
+    rows = ranked(rows.withColumn("strategy", strategy), [group, "__b"], [*wmc, F.col(order)], "__turn", largest)
+    mixed, all_ = F.col("strategy") == "stratified_threshold_v1", F.col("strategy") == "take_all"
+    by = [F.when(mixed, F.col("__turn")).otherwise(0), F.when(mixed, place).otherwise(0), *(F.when(~all_, x) for x in wmc), F.col(order)]
+    rows = ranked(rows, [group], by, "rank", largest)
     return rows.withColumns({"bucket": F.col("__b"), "selected": F.col("rank") <= cap}).drop("__n", "__b", "__turn")
 
 

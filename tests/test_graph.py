@@ -341,3 +341,12 @@ def test_overloads_are_methods_of_their_own(spark, monkeypatch, most):
     rows += [(10 + k % 7, f"m{rng.randrange(5)}", rng.sample("abcdefgh", rng.randrange(3)), rng.sample(["m1", "m2", "q"], rng.randrange(2))) for k in range(60)]
     df = spark.createDataFrame(rows, "class_id int, name string, accessed_fields array<string>, callees array<string>")
     assert {r.class_id: (r.methods, r.components) for r in components.class_components(df).collect()} == brute_components(rows)
+
+
+def test_ladder_of_a_large_group_is_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"c{k:04}", rng.choice(["big", "big", "big", "small", None]), rng.choice([None, *range(30)]), rng.choice([None, *range(8)])) for k in range(300)] + [("x1", "tiny", 3, 3), ("x2", "tiny", None, 1), ("y1", "mid", 5, 1), ("y2", "mid", 5, 1), ("y3", "mid", None, 1), ("y4", "mid", 9, 1)]
+    df = spark.createDataFrame(rows, "id string, group_name string, wmc int, cbo int").where("group_name IS NOT NULL")
+    want = sorted(map(tuple, select.ladder(df).select("id", "strategy", "bucket", "rank", "selected").collect()))
+    monkeypatch.setattr(select, "MOST_IN_WINDOW", 10)
+    assert sorted(map(tuple, select.ladder(df.repartition(7)).select("id", "strategy", "bucket", "rank", "selected").collect())) == want and len(want) == df.count()
