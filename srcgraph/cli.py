@@ -26,7 +26,10 @@ def parser() -> argparse.ArgumentParser:
         run.add_argument(flag, action="store_true")
     run.add_argument("--max-llm-calls", type=int)
     run.add_argument("--max-tokens-total", type=int)
-    run.add_argument("--llm-call-confirm-threshold", type=int, default=100)
+    run.add_argument("--llm-call-confirm-threshold", type=int)
+    run.add_argument("--settings", help="TOML, YAML or JSON file")
+    run.add_argument("--cache", help="folder of the response cache")
+    run.add_argument("--modules", action="store_true", help="make nodes of the modules too")
 
     render = sub.add_parser("render", help="select classes and generate code")
     render.add_argument("--from", dest="source")
@@ -35,13 +38,16 @@ def parser() -> argparse.ArgumentParser:
     render.add_argument("--db-layer", choices=["typeorm", "prisma"], default="typeorm")
     number = {"type": int, "default": 3}
     render.add_argument("--max-classes-per-domain", **number)
+    render.add_argument("--settings", help="TOML, YAML or JSON file")
     for flag in ("--force", "--no-scaffold", "--list-targets"):
         render.add_argument(flag, action="store_true")
 
     ev = sub.add_parser("eval", help="score graphs").add_subparsers(dest="action", required=True)
     one = ev.add_parser("run")
     one.add_argument("folder")
-    one.add_argument("--scorecard", action="append")
+    one.add_argument("--scorecard", action="append", choices=["graph", "code"], help="graph if none is given")
+    one.add_argument("--golden", help="graph.json to agree with")
+    one.add_argument("--rendered", help="folder of the generated code")
     which = one.add_mutually_exclusive_group()
     which.add_argument("--check", action="append")
     which.add_argument("--skip-check", action="append")
@@ -66,20 +72,37 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _run(spark, a) -> int:
-    from srcgraph.plans.pipeline import run
+def _settings(a, **given):
+    from srcgraph.sources import readers
 
-    parts = run(spark, a.input, a.out, force=a.force, evaluate=a.eval)
+    return readers.Settings.load(a.settings, dotenv=".env", **given)
+
+
+def _run(spark, a, model=None) -> int:
+    from srcgraph.operators.annotate import CallError
+    from srcgraph.plans.pipeline import Declined, run
+
+    settings = _settings(a, max_calls=a.max_llm_calls, max_tokens=a.max_tokens_total, confirm_threshold=a.llm_call_confirm_threshold)
+    if a.ast_only:
+        model = None
+    elif model is None:
+        print("no model given: the graph only", file=sys.stderr)
+    question = lambda text: input(f"{text} [y/N] ").strip().lower() == "y"
+    gate = {"yes": a.yes, "interactive": not a.non_interactive and sys.stdin.isatty(), "ask": question}
+    try:
+        parts = run(spark, a.input, a.out, force=a.force, evaluate=a.eval, model=model, settings=settings, with_modules=a.modules, cache_folder=a.cache, **gate)
+    except (Declined, CallError) as e:
+        print(f"stopped: {e}", file=sys.stderr)
+        return 1
     print(f"graph {parts['artefacts']['graph']['sha256']}")
-    return 0
+    return int(any(x["overall"] == "fail" for x in parts.get("evals", {}).values()))
 
 
 def _render(spark, a, model=None) -> int:
-    from srcgraph.operators import render, select
-    from srcgraph.plans.pipeline import selection_of
-    from srcgraph.sources import readers, sinks
+    from srcgraph.operators import render
+    from srcgraph.plans import pipeline
 
-    if not render.targets():
+    if "typescript" not in render.targets():
         render.register(render.nest())
     if a.list_targets:
         print("\n".join(render.targets()))
@@ -87,23 +110,18 @@ def _render(spark, a, model=None) -> int:
     if model is None:
         print("render needs a model; call srcgraph.cli.main with one", file=sys.stderr)
         return 2
-    from pyspark.sql import functions as F
-
-    from srcgraph.operators import policy
-
-    nodes, _ = readers.graph(spark, f"{a.source}/graph.json")
-    chosen = selection_of(nodes, a.max_classes_per_domain).select("group_name", F.explode("selected").alias("id"))
-    decisions = policy.decide(select.renderable(nodes).withColumn("return_types", F.array().cast("array<string>")))
-    made = render.generate(render.requests(chosen, nodes, decisions, render.target(a.target)), model).persist()
-    count = sinks.write_files(render.files(made, render.target(a.target), "app", not a.no_scaffold), str(sinks.prepare(a.out, a.force)))
-    print(f"{count} files")
-    return 0
+    made = pipeline.render(spark, a.source, a.out, model, a.target, a.max_classes_per_domain, a.db_layer, not a.no_scaffold, a.force, _settings(a))
+    print(f"{made['files']} files, {made['failed']} failed" + ", all in one domain" * made["collapsed"])
+    return int(made["failed"] > 0)
 
 
 def _eval(spark, a) -> int:
+    import hashlib
+    import json
     from pathlib import Path
 
-    from srcgraph.plans.pipeline import scorecard_of
+    from srcgraph.operators import quality
+    from srcgraph.plans.pipeline import digests_of, scorecard_of
     from srcgraph.sources import readers, sinks
 
     if a.action == "report":
@@ -115,15 +133,30 @@ def _eval(spark, a) -> int:
         overall = sinks.write_report(checks, a.output_md, a.output_json)
         print(f"Overall: {overall.upper()}")
         return int(overall != "pass")
-    if not (Path(a.folder) / "graph.json").exists():
-        print(f"no graph in {a.folder}", file=sys.stderr)
-        return 2
-    nodes, edges = readers.graph(spark, f"{a.folder}/graph.json")
-    written = sinks.write_scorecard(scorecard_of(nodes, edges, include=a.check, skip=a.skip_check), a.folder, "graph", Path(a.folder).name)
-    if (Path(a.folder) / "manifest.json").exists():
-        sinks.add_to_manifest(a.folder, "evals", {"graph": written})
-    print(f"Overall: {written['overall'].upper()}")
-    return int(written["overall"] == "fail")
+    folder, written = Path(a.folder), {}
+    manifest = json.loads((folder / "manifest.json").read_text()) if (folder / "manifest.json").exists() else {}
+    asked = a.scorecard or ["graph"]
+    sha = lambda path: hashlib.sha256(Path(path).read_bytes()).hexdigest()
+    if "graph" in asked:
+        if not (folder / "graph.json").exists():
+            print(f"no graph in {a.folder}", file=sys.stderr)
+            return 2
+        nodes, edges = readers.graph(spark, f"{a.folder}/graph.json")
+        wanted = "reproducibility" in a.check if a.check else "reproducibility" not in (a.skip_check or [])
+        source = manifest.get("acquisition_source")
+        digests = digests_of(spark, source, manifest.get("corpus_id") or folder.name) if wanted and source else None
+        checks = scorecard_of(nodes, edges, digest=sha(folder / "graph.json"), golden=sha(a.golden) if a.golden else None, digests=digests, include=a.check, skip=a.skip_check)
+        written["graph"] = sinks.write_scorecard(checks, a.folder, "graph", folder.name)
+    if "code" in asked:
+        code = Path(a.rendered or next((x["path"] for x in manifest.get("renders", {}).values()), a.folder))
+        results = spark.read.schema("`check` STRING, status STRING").option("multiLine", "true").json(str(code / "compile-checks.json")) if (code / "compile-checks.json").exists() else None
+        chosen = spark.read.schema("group_name STRING, selected ARRAY<STRING>, refused ARRAY<STRING>, stub_todos ARRAY<STRING>").json(str(code / "selections")) if (code / "selections").exists() else None
+        written["code"] = sinks.write_scorecard(quality.code_scorecard(spark, results, chosen, a.check, a.skip_check), a.folder, "code", folder.name)
+    if manifest:
+        sinks.add_to_manifest(a.folder, "evals", written)
+    overall = "fail" if any(x["overall"] == "fail" for x in written.values()) else "pass"
+    print(f"Overall: {overall.upper()}")
+    return int(overall == "fail")
 
 
 def _cache(spark, a) -> int:
@@ -160,10 +193,11 @@ def main(args: list[str] | None = None, model=None) -> int:
     a = parser().parse_args(args)
     level = a.log_level or ("debug" if a.verbose else "error" if a.quiet else "info")
     logging.basicConfig(level=level.upper())
+    logging.getLogger("srcgraph").setLevel(level.upper())
     spark = session()
-    if a.command == "render":
-        return _render(spark, a, model)
-    return {"run": _run, "eval": _eval, "cache": _cache}[a.command](spark, a)
+    if a.command in ("run", "render"):
+        return {"run": _run, "render": _render}[a.command](spark, a, model)
+    return {"eval": _eval, "cache": _cache}[a.command](spark, a)
 
 
 if __name__ == "__main__":

@@ -9,18 +9,22 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.functions.keys import backoff
+from srcgraph.functions.keys import backoff, cache_key
 from srcgraph.functions.text import line_slice
-from srcgraph.schemas import ANNOTATIONS_DDL, TYPE_KINDS
+from srcgraph.schemas import ANNOTATIONS_DDL, CACHE_DDL, TYPE_KINDS
+from srcgraph.session import durable
 
 from . import cache as cache_table
+from . import telemetry
 from .regex_extract import signatures
 
+BEYOND = "beyond the ceiling"
 MOST_CHARS, FLOOR, FEW_FAILURES, RATIO, SAMPLES = 240_000, 10, 3, 0.10, 5
 
 
@@ -54,9 +58,9 @@ def requests(nodes: DataFrame, most: int = MOST_CHARS) -> DataFrame:
     return nodes.select(F.col("id").alias("node_id"), big.alias("degraded"), F.when(big, "signatures_only").alias("extraction_mode"), body.alias("input"))
 
 
-def call(requests_: DataFrame, model: Callable[[list[str]], list[str]], concurrency: int = 5, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Add output and error. ``concurrency`` partitions call the model side by side; failures become rows, and
-    transient ones are repeated with growing pauses."""
+def call(requests_: DataFrame, model: Callable[[list[str]], list[str]], concurrency: int = 5, attempts: int = 3, sleep: Callable[[float], None] = time.sleep, threads: int = 1) -> DataFrame:
+    """Add output and error. ``concurrency`` tasks with ``threads`` threads each call the model side by side, in
+    the order of their rows; failures become rows, and transient ones are repeated with growing pauses."""
 
     def once(text: str) -> tuple[str | None, str | None, int]:
         for k, pause in enumerate([*backoff(attempts - 1), None]):
@@ -69,9 +73,10 @@ def call(requests_: DataFrame, model: Callable[[list[str]], list[str]], concurre
         raise AssertionError
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            done = [once(x) for x in pdf["input"]]
-            yield pdf.assign(output=[d[0] for d in done], error=[d[1] for d in done], attempts=[d[2] for d in done])
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in frames:
+                done = list(pool.map(once, pdf["input"]))
+                yield pdf.assign(output=[d[0] for d in done], error=[d[1] for d in done], attempts=[d[2] for d in done])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests_.schema.fields)
     return requests_.repartition(concurrency).mapInPandas(run, fields + ", output string, error string, attempts int")
@@ -103,9 +108,47 @@ def records(results: DataFrame) -> DataFrame:
     return results.select("node_id", (F.col("degraded") | F.col("error").isNotNull()).alias("degraded"), "extraction_mode", F.when(F.col("error").isNull(), parsed).alias("annotation"))
 
 
+def within_ceilings(requests_: DataFrame, max_calls: int | None, max_tokens: int | None) -> DataFrame:
+    """Add ``allowed``: whether a request, in order of nodes, is made before the calls and tokens of the run are
+    used up. Tokens are estimated at four characters each."""
+    if max_calls is None and max_tokens is None:
+        return requests_.withColumn("allowed", F.lit(True))
+    rows = requests_.withColumns({"__run": F.lit(0), "__tokens": F.ceil(F.length("input") / 4)})
+    out = telemetry.ceiling(rows, run="__run", order="node_id", tokens="__tokens", max_tokens=max_tokens, max_calls=max_calls)
+    return out.select(*requests_.columns, "allowed")
+
+
+def ask(requests_: DataFrame, model, cache: DataFrame | None = None, max_calls: int | None = None, max_tokens: int | None = None, **options) -> DataFrame:
+    """The whole stack around the calls: known responses from the cache, ceilings, retries, errors as rows.
+
+    Returns the requests with cache_key, output, error, attempts and cache_hit. Requests beyond a ceiling aren't
+    made and have an error.
+    """
+    keyed = requests_.withColumn("cache_key", cache_key(F.lit(options.pop("model_name", "")), "input"))
+    known = keyed.sparkSession.createDataFrame([], "cache_key string, output_body string") if cache is None else cache.select("cache_key", "output_body")
+    hits, misses = cache_table.split(keyed, known.withColumnRenamed("output_body", "output"))
+    misses = durable(within_ceilings(misses, max_calls, max_tokens))
+    text = F.lit(None).cast("string")
+    made = call(misses.where("allowed").drop("allowed"), model, **options).withColumn("cache_hit", F.lit(False))
+    over = misses.where("NOT allowed").drop("allowed").withColumns({"output": text, "error": F.lit(BEYOND), "attempts": F.lit(0), "cache_hit": F.lit(False)})
+    hit = hits.select(*keyed.columns, "output", text.alias("error"), F.lit(0).alias("attempts"), F.lit(True).alias("cache_hit"))
+    return hit.unionByName(made).unionByName(over)
+
+
+def cache_entries(results: DataFrame, model: str, purpose: str) -> DataFrame:
+    """Entries of the response cache for the calls that were made and went well."""
+    given = {"cache_key": F.col("cache_key"), "model": F.lit(model), "purpose": F.lit(purpose), "input_hash": F.sha2("input", 256), "input_body": F.col("input"), "output_body": F.col("output"), "created_at": F.current_timestamp(), "hit_count": F.lit(0)}
+    made = results.where("NOT cache_hit AND error IS NULL")
+    return made.select(*(given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (c.split() for c in CACHE_DDL.split(", "))))
+
+
 def annotate(nodes: DataFrame, files: DataFrame, model, ratio: float = RATIO, **options) -> DataFrame:
     """Records of all nodes that have a source. Raises when too many whole sources failed."""
-    results = call(requests(with_source(source_nodes(nodes), files)), model, **options).persist()
+    return checked(durable(call(requests(with_source(source_nodes(nodes), files)), model, **options)), ratio)
+
+
+def checked(results: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """Records of the results, unless too many whole sources failed."""
     gate = failure_gate(results.where("NOT degraded").select(F.col("error").isNotNull().alias("failed")), ratio=ratio).first()
     if gate and gate.abort:
         reasons = [r.error for r in failure_samples(results).collect()]

@@ -7,7 +7,10 @@ branches and nesting. What it can't read raises ScanError, and the caller falls
 from __future__ import annotations
 
 import re
+import signal
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -726,7 +729,26 @@ def scan(path: str, source: str) -> dict:
     return out
 
 
-def _scan_batches(schema: pa.Schema):
+@contextmanager
+def at_most(seconds: float):
+    """Raise ScanError in the main thread of a worker when its time is up; elsewhere there is no limit."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise ScanError(f"more than {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _scan_batches(schema: pa.Schema, seconds: float):
     kind = schema.field("ast").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -735,7 +757,8 @@ def _scan_batches(schema: pa.Schema):
             rows = []
             for path, source in zip(batch.column(names.index("path")).to_pylist(), batch.column(names.index("text")).to_pylist(), strict=True):
                 try:
-                    rows.append(scan(path, source) if source is not None else None)
+                    with at_most(seconds):
+                        rows.append(scan(path, source) if source is not None else None)
                 except (ScanError, StopIteration, KeyError, IndexError, RecursionError):
                     rows.append(None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*names, "ast"])
@@ -743,8 +766,9 @@ def _scan_batches(schema: pa.Schema):
     return run
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Parsed rows of ``files(path, text, ...)``: scanned, or by regular expressions where that fails.
+def extract(files: DataFrame, seconds: float = 30.0) -> DataFrame:
+    """Parsed rows of ``files(path, text, ...)``: scanned, or by regular expressions where that fails or takes
+    more than ``seconds`` for a file.
 
     Files are scanned in Arrow batches without a shuffle; the fallback is an expression on the same row.
     """
@@ -753,7 +777,7 @@ def extract(files: DataFrame) -> DataFrame:
 
     struct = files.sparkSession.createDataFrame([], PARSED_DDL).schema
     schema = T.StructType([*files.schema.fields, T.StructField("ast", struct)])
-    scanned = files.mapInArrow(_scan_batches(to_arrow_schema(schema)), schema)
+    scanned = files.mapInArrow(_scan_batches(to_arrow_schema(schema), seconds), schema)
     rest = [c for c in files.columns if c not in ("path", "text")]
     both = regex_extract.extract(scanned).select(*rest, "ast", *(F.col(k).alias(f"__r_{k}") for k in PARSED_FIELDS))
     return both.select(*rest, *(F.when(F.col("ast").isNotNull(), F.col(f"ast.{k}")).otherwise(F.col(f"__r_{k}")).alias(k) for k in PARSED_FIELDS))

@@ -127,6 +127,19 @@ def limits() -> dict[str, Column]:
     }
 
 
+def code_scorecard(spark, results: DataFrame | None, selections: DataFrame | None, include: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
+    """All checks of generated code as rows; what there is nothing to check of, or isn't asked for, is a skip row."""
+    limit = limits()
+    none = lambda: spark.createDataFrame([(None,)], "value double")
+    found = {"compile": lambda: none() if results is None else compile_rate(results), "coverage": lambda: none() if selections is None else coverage(selections), "llm_judge": none}
+    rows = None
+    for check in CODE_CHECKS:
+        df = found[check]() if (check in include if include else check not in (skip or [])) else none()
+        own = _row(df, check, "code", limit[check], *(c for c in df.columns if c != "value"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 def graph_scorecard(nodes: DataFrame, edges: DataFrame, digest: str | None = None, golden: str | None = None, digests: list[str | None] | None = None, include: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
     """All graph checks as rows. An include list beats a skip list, and a check that isn't run is a skip row."""
     spark, limit = nodes.sparkSession, limits()

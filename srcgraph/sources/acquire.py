@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import subprocess
 import tempfile
@@ -27,8 +28,12 @@ def _clone(url: str, target: str):
 
 
 @contextmanager
-def folder_of(spec: str, clone: Callable[[str, str], None] = _clone) -> Iterator[str]:
-    """A folder with the tree; one made for it is removed afterwards. Git needs a folder that executors share."""
+def folder_of(spec: str, clone: Callable[[str, str], None] = _clone, shared: str | None = None) -> Iterator[str]:
+    """A folder with the tree; one made for it is removed afterwards.
+
+    What is made for a repository or an archive goes below ``shared``, which all executors see; without it into a
+    temporary folder of this machine, for a local master only.
+    """
     if kind_of(spec) == "local":
         path = Path(spec)
         if not path.exists():
@@ -37,7 +42,12 @@ def folder_of(spec: str, clone: Callable[[str, str], None] = _clone) -> Iterator
             raise NotADirectoryError(spec)
         yield str(path.resolve())
         return
-    made = tempfile.mkdtemp(prefix="source-")
+    base = re.sub("^file:/*", "/", shared) if shared else None
+    if base and "://" in base:
+        raise ValueError(f"{spec} is unpacked through a mounted folder, which {shared} isn't")
+    if base:
+        Path(base).mkdir(parents=True, exist_ok=True)
+    made = tempfile.mkdtemp(prefix="source-", dir=base)
     try:
         if kind_of(spec) == "git":
             clone(spec, made)

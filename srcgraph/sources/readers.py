@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions.keys import template_names
 from srcgraph.operators.assemble import first_wins
-from srcgraph.schemas import ANNOTATIONS_DDL, EDGE_DDL, LOGS_DDL, NODE_DDL, PRICES_DDL
+from srcgraph.schemas import ANNOTATIONS_DDL, CACHE_DDL, EDGE_DDL, LOGS_DDL, NODE_DDL, PRICES_DDL
 
 CHECK_JSON = "id STRING, category STRING, result STRING, value STRING, threshold STRUCT<kind: STRING, expected: BOOLEAN, pass_at: DOUBLE, fail_at: DOUBLE>, duration_ms INT, details STRING"
 MANIFEST_DDL = "schema_version STRING, run_id STRING, tool_version STRING, acquisition_source STRING, corpus_id STRING, created_at STRING, ast_only BOOLEAN, cache_stats MAP<STRING, STRUCT<calls: BIGINT, hits: BIGINT, hit_rate: DOUBLE>>, artefacts MAP<STRING, STRUCT<path: STRING, schema_version: STRING, sha256: STRING>>, evals MAP<STRING, STRUCT<path: STRING, schema_version: STRING, sha256: STRING>>, renders MAP<STRING, STRUCT<path: STRING, schema_version: STRING, sha256: STRING>>"
@@ -60,6 +60,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_DDL).option("multiLine", "true").json(path)
 
 
+def cache(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The stored responses, or None where none are stored yet."""
+    return spark.read.schema(CACHE_DDL).parquet(folder) if Path(folder).exists() else None
+
+
 def logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOGS_DDL).json(path)
 
@@ -77,9 +82,51 @@ def prices(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.createDataFrame(rows, PRICES_DDL), meta
 
 
+def _dotenv(path: str | None) -> dict[str, str]:
+    """NAME=value lines; quotes around a value and an export before a name are dropped."""
+    out = {}
+    for line in Path(path).read_text().splitlines() if path and Path(path).exists() else []:
+        name, mark, value = line.strip().removeprefix("export ").partition("=")
+        if mark and not name.startswith("#"):
+            out[name.strip()] = value.strip().strip("\"'")
+    return out
+
+
+def _scalar(raw: str):
+    raw = raw.split(" #", 1)[0].strip()
+    if raw[:1] in ("'", '"'):
+        return raw[1:-1]
+    if raw.lower() in ("", "~", "null"):
+        return None
+    try:
+        return json.loads(raw.lower() if raw.lower() in ("true", "false") else raw)
+    except ValueError:
+        return raw
+
+
+def _yaml(text: str) -> dict:
+    """Scalars, lists of scalars and mappings of one level below the top, which is what settings need."""
+    out: dict = {}
+    key = None
+    for line in text.splitlines():
+        body = line.strip()
+        if not body or body.startswith(("#", "---")):
+            continue
+        if line[0] not in " \t-":
+            key, _, raw = (x.strip() for x in body.partition(":"))
+            out[key] = _scalar(raw)
+        elif body.startswith("- "):
+            out[key] = [*(out[key] or []), _scalar(body[2:])]
+        else:
+            name, _, raw = body.partition(":")
+            out[key] = (out[key] or {}) | {_scalar(name): _scalar(raw)}
+    return out
+
+
 @dataclass
 class Settings:
-    """Values given in code win over the environment, that over a file, that over the defaults."""
+    """Values given in code win over the environment, that over a .env file, that over a settings file (TOML,
+    YAML or JSON), that over the defaults."""
 
     max_concurrent: int = 5
     max_failure_ratio: float = 0.10
@@ -90,14 +137,25 @@ class Settings:
     security_policy: str = "refuse"
     webflux_policy: str = "translate_mono_only"
     domain_mapping: dict[str, str] = field(default_factory=dict)
+    models: dict[str, str] = field(default_factory=dict)
+    provider: str = ""
+    timeout_seconds: float = 30.0
+
+    def model_for(self, tier: str) -> str:
+        """Model of a tier, else the default one; an unknown tier without a default is an error."""
+        found = self.models.get(tier) or self.models.get("default")
+        if not found:
+            raise KeyError(f"no model for tier {tier}")
+        return found
 
     @classmethod
-    def load(cls, file: str | None = None, environment: dict[str, str] | None = None, prefix: str = "SRCGRAPH_", **given) -> Settings:
+    def load(cls, file: str | None = None, environment: dict[str, str] | None = None, prefix: str = "SRCGRAPH_", dotenv: str | None = None, **given) -> Settings:
         env, known = os.environ if environment is None else environment, {f.name: f for f in fields(cls)}
+        env = _dotenv(dotenv) | dict(env)
         stored = {}
         if file and Path(file).exists():
             text = Path(file).read_text()
-            stored = tomllib.loads(text) if file.endswith(".toml") else json.loads(text)
+            stored = tomllib.loads(text) if file.endswith(".toml") else _yaml(text) if file.endswith((".yaml", ".yml")) else json.loads(text)
         values = {k: v for k, v in stored.items() if k in known}
         for name in known:
             if (raw := env.get(prefix + name.upper())) is not None:

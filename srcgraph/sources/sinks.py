@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import shutil
+import subprocess
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -26,7 +27,8 @@ def prepare(folder: str, force: bool = False, clear: bool = False) -> Path:
         if not force:
             raise FileExistsError(f"{path} isn't empty")
         if clear:
-            shutil.rmtree(path)
+            for child in path.iterdir():
+                shutil.rmtree(child) if child.is_dir() and not child.is_symlink() else child.unlink()
     path.mkdir(parents=True, exist_ok=True)
     return path
 
@@ -74,6 +76,35 @@ def write_scorecard(checks: DataFrame, folder: str, kind: str, corpus_id: str) -
     return {"overall": overall, "path": str(path), "schema_version": SCORECARD_VERSION, "sha256": hashlib.sha256(body.encode()).hexdigest()}
 
 
+def write_overview(overview: dict, folder: str) -> dict:
+    """The overview beside the graph, which stays as it is."""
+    path, body = Path(folder) / "overview.json", json.dumps(overview, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
+    path.write_text(body)
+    return {"path": str(path), "schema_version": canonical.SCHEMA_VERSION, "sha256": hashlib.sha256(body.encode()).hexdigest()}
+
+
+def compile_checks(checks: dict[str, list[str]], folder: str, timeout: float = 120, tail: int = 100) -> dict:
+    """Run the commands that a target declares on a rendering, and write what came of each beside it.
+
+    A tool that isn't there is skipped before it runs; one that fails or takes too long fails, and those after it
+    aren't run, as they build on it.
+    """
+    rows, failed = [], False
+    for name, command in checks.items():
+        row = {"check": name, "command": command, "status": "preflight_skip", "output": ""}
+        if shutil.which(command[0]) and not failed:
+            try:
+                done = subprocess.run(command, cwd=folder, capture_output=True, text=True, timeout=timeout)
+                row |= {"status": "pass" if done.returncode == 0 else "fail", "output": "\n".join((done.stdout + done.stderr).splitlines()[-tail:])}
+            except subprocess.TimeoutExpired:
+                row |= {"status": "fail", "output": f"more than {timeout:g} seconds"}
+            failed = row["status"] == "fail"
+        rows.append(row)
+    path = Path(folder) / "compile-checks.json"
+    path.write_text(json.dumps(rows, indent=2) + "\n")
+    return {"path": str(path), "schema_version": SCORECARD_VERSION, "sha256": hashlib.sha256(path.read_bytes()).hexdigest()}
+
+
 def write_manifest(folder: str, **parts) -> Path:
     """manifest.json, written once at the end of a run."""
     path = Path(folder) / "manifest.json"

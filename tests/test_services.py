@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from srcgraph import cli
 from srcgraph.operators import annotate, cache, estimate, policy, render, telemetry
-from srcgraph.schemas import CACHE_DDL
+from srcgraph.schemas import CACHE_DDL, FILES_DDL
 from srcgraph.sources import acquire, discover, ignore, readers, sinks
 from srcgraph.streaming import telemetry as stream
 
@@ -248,3 +248,82 @@ def test_broken_bytes_are_replaced(spark, tmp_path):
     (tmp_path / "B.java").write_bytes("class B { é }".encode())
     got = {r.path: r.text for r in acquire.local_files(spark, str(tmp_path)).collect()}
     assert got == {"A.java": b"class A { \xff\xe9 }".decode(errors="replace"), "B.java": "class B { é }"}
+
+
+def test_settings_files(tmp_path):
+    (tmp_path / "s.yaml").write_text("---\n# of a run\nmax_concurrent: 7\nsecurity_policy: 'ignore'\nmodels:\n  large: big-1\n  default: small-1\nmax_calls: ~\n")
+    (tmp_path / ".env").write_text("export SRCGRAPH_MAX_CONCURRENT='9'\nSRCGRAPH_CLASSES_PER_DOMAIN=4\n# SRCGRAPH_MAX_CALLS=1\n")
+    load = lambda **more: readers.Settings.load(str(tmp_path / "s.yaml"), more.pop("env", {}), dotenv=str(tmp_path / ".env"), **more)
+    s = load()
+    assert (s.max_concurrent, s.security_policy, s.classes_per_domain, s.max_calls) == (9, "ignore", 4, None)
+    assert load(env={"SRCGRAPH_MAX_CONCURRENT": "11"}).max_concurrent == 11 and load(max_concurrent=12).max_concurrent == 12
+    assert s.model_for("large") == "big-1" and s.model_for("other") == "small-1"
+    with pytest.raises(KeyError):
+        readers.Settings().model_for("large")
+
+
+def answer(texts):
+    """Domain summaries get an overview, classes a record."""
+    if texts[0].startswith("Domains:"):
+        return [json.dumps({"project_overview": "all", "domains": []})]
+    return [json.dumps({"class_name": "X", "domain_hint": "shop", "methods": [{"name": "m", "return_type": "Flux<A>" if "class A" in texts[0] else "int"}]})]
+
+
+def test_run_with_a_model(spark, tree, tmp_path, monkeypatch):
+    (tree / "core/.gitignore").write_text("B.java\n")
+    out, store = str(tmp_path / "out"), str(tmp_path / "cache")
+    run = lambda *more, model=answer: cli.main(["run", str(tree), "--out", out, "--force", "--cache", store, "--non-interactive", *more], model)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/stale.txt").write_text("from before")
+    assert run("--ast-only") == 0 and not (tmp_path / "out/annotations").exists() and not (tmp_path / "out/stale.txt").exists()
+    doc = json.loads((tmp_path / "out/graph.json").read_text())
+    assert "p.B" not in {n["id"] for n in doc["nodes"]} and not any(n["kind"] == "module" for n in doc["nodes"])
+    assert run("--modules") == 0
+    manifest = json.loads((tmp_path / "out/manifest.json").read_text())
+    assert set(manifest["artefacts"]) == {"graph", "annotations", "overview"} and manifest["cache_stats"]["pass_1"]["hits"] == 0
+    assert json.loads((tmp_path / "out/overview.json").read_text())["project_overview"] == "all"
+    assert {r["logger"] for r in map(json.loads, (tmp_path / "out/run.log.jsonl").read_text().splitlines())} == {"srcgraph"}
+    assert any(n["kind"] == "module" for n in json.loads((tmp_path / "out/graph.json").read_text())["nodes"])
+    first = manifest["cache_stats"]["pass_1"]["calls"]
+
+    def never(texts):
+        return answer(texts) if texts[0].startswith("Domains:") else 1 / 0
+
+    assert run(model=never) == 0  # every class is known
+    stats = json.loads((tmp_path / "out/manifest.json").read_text())["cache_stats"]["pass_1"]
+    assert (stats["calls"], stats["hits"]) == (first, first) and {r.hit_count for r in readers.cache(spark, store).collect()} == {1}
+    # ceilings and the gate
+    assert cli.main(["run", str(tree), "--out", str(tmp_path / "o2"), "--max-llm-calls", "0", "--non-interactive"], answer) == 1
+    assert cli.main(["run", str(tree), "--out", str(tmp_path / "o3"), "--max-tokens-total", "1", "--non-interactive"], answer) == 1
+    monkeypatch.setattr("sys.stdin.isatty", lambda: True, raising=False)
+    monkeypatch.setattr("builtins.input", lambda _: "n")
+    gated = lambda *more: cli.main(["run", str(tree), "--out", str(tmp_path / "o4"), "--force", "--llm-call-confirm-threshold", "1", *more], answer)
+    assert gated() == 1 and gated("--yes") == 0
+    # the class whose record lists a Flux is refused
+    assert cli.main(["render", "--from", out, "--out", str(tmp_path / "ts"), "--db-layer", "prisma"], lambda xs: [x.rsplit(": ", 1)[-1] for x in xs]) == 0
+    made = {p.name: p.read_text() for p in (tmp_path / "ts/src").rglob("*.ts")}
+    assert "a.ts" not in made and made["w.ts"] == "prisma"
+    assert "typescript" in json.loads((tmp_path / "out/manifest.json").read_text())["renders"]
+    assert cli.main(["eval", "run", out, "--scorecard", "code"]) in (0, 1)
+    card = {c["id"]: c for c in json.loads((tmp_path / "out/evals/code-scorecard.json").read_text())["checks"]}
+    assert set(card) == {"compile", "coverage", "llm_judge"} and card["coverage"]["value"] is not None and card["llm_judge"]["result"] == "skip"
+
+
+def test_reproducibility_and_golden(spark, tree, tmp_path):
+    out = str(tmp_path / "out")
+    assert cli.main(["run", str(tree), "--out", out, "--ast-only"]) == 0
+    card = lambda: {c["id"]: c["result"] for c in json.loads((tmp_path / "out/evals/graph-scorecard.json").read_text())["checks"]}
+    cli.main(["eval", "run", out, "--check", "reproducibility", "--check", "golden_graph_agreement", "--golden", f"{out}/graph.json"])
+    assert card()["reproducibility"] == card()["golden_graph_agreement"] == "pass" and card()["schema_validity"] == "skip"
+    (tmp_path / "other.json").write_text("{}")
+    assert cli.main(["eval", "run", out, "--check", "golden_graph_agreement", "--golden", str(tmp_path / "other.json")]) == 1 and card()["golden_graph_agreement"] == "fail"
+
+
+def test_slow_files_fall_back(spark):
+    from srcgraph.operators import java_scan
+
+    df = spark.createDataFrame([(1, "m", "A.java", "package p;\nclass A { }")], FILES_DDL)
+    assert java_scan.extract(df).first().extraction_mode == "ast"
+    with pytest.raises(java_scan.ScanError), java_scan.at_most(0.05):
+        while True:
+            pass
