@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 1000
 HOT_ROWS = 2000
 SALTS = 4096
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2048
 #: Up to so many edges are closed by one union-find task; more take the star iterations.
 SMALL_EDGES = 500_000
 
@@ -55,11 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder once and go on from there (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Write the rows to the shared folder once and go on from there (survives lost executors).
+
+    Meanwhile Python workers get at most BATCH_ROWS rows at once, since a row may hold a whole text and both
+    sides keep the buffers of the largest batch.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
