@@ -105,19 +105,27 @@ GROUP = ["label", "dim", "cluster"]
 PLACED = CLASS + ", cluster long"
 
 
-def _fit_split(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep")
-    x = unit(_stack(pdf["e"])).astype(np.float32)
-    k = min(SPLIT, len(pdf), int(pdf["n"].iloc[0]) * SPLIT_OVERLAP // CLUSTER + 1)
-    return pdf[GROUP].head(1).assign(centres=[centroids(x, k, np.random.default_rng(5)).tobytes()])
+def _fit_split(cluster: int, most: int, overlap: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        x = unit(_stack(pdf["e"])).astype(np.float32)
+        k = min(most, len(pdf), int(pdf["n"].iloc[0]) * overlap // cluster + 1)
+        return pdf[GROUP].head(1).assign(centres=[centroids(x, k, np.random.default_rng(5)).tobytes()])
+
+    return run
+
 
+def _split(most: int, overlap: int, first: int):
+    """``first`` keeps the numbers of new clusters apart from those of all levels before."""
 
-def _split(rows: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
-    rows = rows[["label", "dim", "rep", "copies", "e", "cluster"]]
-    if not len(rows) or not len(fitted):
-        return rows
-    centres = np.frombuffer(fitted["centres"].iloc[0], np.float32).reshape(-1, int(rows["dim"].iloc[0]))
-    return pd.concat([p.assign(cluster=rows["cluster"].to_numpy() * SPLIT + p["cluster"].to_numpy() + MOST_CLUSTERS) for p in _nearest(rows, centres, SPLIT_OVERLAP)])
+    def run(rows: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[["label", "dim", "rep", "copies", "e", "cluster"]]
+        if not len(rows) or not len(fitted):
+            return rows
+        centres = np.frombuffer(fitted["centres"].iloc[0], np.float32).reshape(-1, int(rows["dim"].iloc[0]))
+        return pd.concat([p.assign(cluster=rows["cluster"].to_numpy() * most + p["cluster"].to_numpy() + first) for p in _nearest(rows, centres, overlap)])
+
+    return run
 
 
 def place(classes: DataFrame, centres: dict[tuple[int, int], np.ndarray], overlap: int = OVERLAP) -> DataFrame:
@@ -135,11 +143,11 @@ def place(classes: DataFrame, centres: dict[tuple[int, int], np.ndarray], overla
         large = F.broadcast(large) if count <= 100_000 else large
         inside = placed.join(large, GROUP)
         drawn = F.pmod(F.xxhash64(F.lit(6), "rep"), F.lit(1 << 30)) < F.least(F.lit(1.0), SPLIT_SAMPLE / F.col("n")) * (1 << 30)
-        fitted = cut(inside.where(drawn).groupBy(*GROUP).applyInPandas(_fit_split, "label long, dim int, cluster long, centres binary"))
+        fitted = cut(inside.where(drawn).groupBy(*GROUP).applyInPandas(_fit_split(CLUSTER, SPLIT, SPLIT_OVERLAP), "label long, dim int, cluster long, centres binary"))
         salts = F.ceil(F.col("n") / (4 * SHARD)).cast("int")
         salted = inside.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
         each = fitted.join(large, GROUP).select(*GROUP, "centres", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        split = salted.groupBy(*GROUP, "salt").cogroup(each.groupBy(*GROUP, "salt")).applyInPandas(_split, PLACED)
+        split = salted.groupBy(*GROUP, "salt").cogroup(each.groupBy(*GROUP, "salt")).applyInPandas(_split(SPLIT, SPLIT_OVERLAP, MOST_CLUSTERS), PLACED)
         placed = cut(placed.join(large, GROUP, "left_anti").unionByName(split))
     return placed
 

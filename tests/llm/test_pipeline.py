@@ -67,6 +67,29 @@ def test_packing(stages):
     assert used <= usual
 
 
+def test_run_is_the_stages(spark, stages, tmp_path):
+    """run() on real rows gives what its stages give, one after the other."""
+    spark.read.parquet(f"{SF}/documents.parquet").limit(80).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    used, usual = check_packing(pipeline.run(spark, str(tmp_path)).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    assert used <= usual
+
+
+def test_repeated_rows_share_the_mix(spark):
+    """Rows with one id and size don't overshoot what is taken of them."""
+    rows = [(7, f"{k} " + "word " * 40, "a") for k in range(10)] + [(k + 100, "other words here " * 30, "b") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    out = pipeline.mixing(spark, docs, SF).collect()
+    taken = sum(len(words_of(r.text)) for r in out if r.doc_id == 7)
+    from srcgraph.llm.mixing import mix
+
+    want = sum(r.taken for r in mix(docs).collect() if r.doc_id == 7)
+    assert want - 10 < taken <= want
+
+
 def test_run_on_nothing(spark, stages, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
