@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     number = {"type": int, "default": 3}
     render.add_argument("--max-classes-per-domain", **number)
     render.add_argument("--settings", help="TOML, YAML or JSON file")
-    for flag in ("--force", "--no-scaffold", "--list-targets"):
+    for flag in ("--force", "--no-scaffold", "--list-targets", "--compile"):
         render.add_argument(flag, action="store_true")
 
     ev = sub.add_parser("eval", help="score graphs").add_subparsers(dest="action", required=True)
@@ -110,7 +110,7 @@ def _render(spark, a, model=None) -> int:
     if model is None:
         print("render needs a model; call srcgraph.cli.main with one", file=sys.stderr)
         return 2
-    made = pipeline.render(spark, a.source, a.out, model, a.target, a.max_classes_per_domain, a.db_layer, not a.no_scaffold, a.force, _settings(a))
+    made = pipeline.render(spark, a.source, a.out, model, a.target, a.max_classes_per_domain, a.db_layer, not a.no_scaffold, a.force, _settings(a), a.compile)
     print(f"{made['files']} files, {made['failed']} failed" + ", all in one domain" * made["collapsed"])
     return int(made["failed"] > 0)
 

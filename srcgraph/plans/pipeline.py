@@ -160,7 +160,7 @@ def run(spark, spec: str, out: str, name: str | None = None, force: bool = False
         handler.close()
 
 
-def render(spark, source: str, out: str, model, target: str = "typescript", cap: int = select.CAP, db_layer: str = "typeorm", scaffold: bool = True, force: bool = False, settings=None) -> dict:
+def render(spark, source: str, out: str, model, target: str = "typescript", cap: int = select.CAP, db_layer: str = "typeorm", scaffold: bool = True, force: bool = False, settings=None, check: bool = False) -> dict:
     """Generate code for the selected classes of a run; returns what was made.
 
     Policies see the return types of the run's annotations, where there are any. Beside the code are the
@@ -189,7 +189,7 @@ def render(spark, source: str, out: str, model, target: str = "typescript", cap:
     one = quality.collapsed(made.where("content IS NOT NULL").select("path")).first()
     if one.collapsed:
         log.warning("all %d files are in one domain", one.files)
-    result = {"files": count, "failed": made.where("error IS NOT NULL").count(), "collapsed": one.collapsed, "compile": sinks.compile_checks(goal.checks, folder)}
+    result = {"files": count, "failed": made.where("error IS NOT NULL").count(), "collapsed": one.collapsed, "compile": sinks.compile_checks(goal.checks, folder, run=check)}
     if (Path(source) / "manifest.json").exists():
         sinks.add_to_manifest(source, "renders", {target: {"path": folder, "schema_version": "1.0.0", "sha256": result["compile"]["sha256"]}})
     return result

@@ -83,16 +83,16 @@ def write_overview(overview: dict, folder: str) -> dict:
     return {"path": str(path), "schema_version": canonical.SCHEMA_VERSION, "sha256": hashlib.sha256(body.encode()).hexdigest()}
 
 
-def compile_checks(checks: dict[str, list[str]], folder: str, timeout: float = 120, tail: int = 100) -> dict:
+def compile_checks(checks: dict[str, list[str]], folder: str, timeout: float = 120, tail: int = 100, run: bool = True) -> dict:
     """Run the commands that a target declares on a rendering, and write what came of each beside it.
 
-    A tool that isn't there is skipped before it runs; one that fails or takes too long fails, and those after it
+    Without ``run`` all are skipped. A tool that isn't there is skipped before it runs; one that fails or takes too long fails, and those after it
     aren't run, as they build on it.
     """
     rows, failed = [], False
     for name, command in checks.items():
         row = {"check": name, "command": command, "status": "preflight_skip", "output": ""}
-        if shutil.which(command[0]) and not failed:
+        if run and shutil.which(command[0]) and not failed:
             try:
                 done = subprocess.run(command, cwd=folder, capture_output=True, text=True, timeout=timeout)
                 row |= {"status": "pass" if done.returncode == 0 else "fail", "output": "\n".join((done.stdout + done.stderr).splitlines()[-tail:])}
