@@ -350,3 +350,28 @@ def test_ladder_of_a_large_group_is_the_same(spark, monkeypatch):
     want = sorted(map(tuple, select.ladder(df).select("id", "strategy", "bucket", "rank", "selected").collect()))
     monkeypatch.setattr(select, "MOST_IN_WINDOW", 10)
     assert sorted(map(tuple, select.ladder(df.repartition(7)).select("id", "strategy", "bucket", "rank", "selected").collect())) == want and len(want) == df.count()
+
+
+def test_no_filter_is_computed_from_the_text_again(spark):
+    files = spark.createDataFrame([("A.java", "class A {\n    int a;\n    int f() { }\n}\n")], "path string, text string")
+    for found in (regex_extract.extract(files), java_scan.extract(files)):
+        plan = found.select(F.explode("methods").alias("m")).where("m.name <> ''")._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Filter" in x and "regexp" in x]
+
+
+def test_scanned_files_keep_no_text_and_come_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    files = spark.createDataFrame([], "path string, text string, ast struct<id: string>")
+    batch = pa.RecordBatch.from_pydict({"path": ["A.java"] * 600, "text": ["class A { }", "class A { ((; }"] * 300})
+    out = list(java_scan._scan_batches(to_arrow_schema(files.schema), 30.0)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 256 and [x for b in out for x in b.column("text").to_pylist()] == [None, "class A { ((; }"] * 300
+    assert [x for b in out for x in b.column("ast").to_pylist()] == [{"id": "A"}, None] * 300
+
+
+def test_parts_are_dealt_to_many_tasks(spark):
+    from srcgraph import queries
+
+    assert queries.spread(spark.range(100_000, numPartitions=1).toDF("k")).rdd.getNumPartitions() == 12
+    assert queries.spread(spark.range(0).toDF("k")).count() == 0
