@@ -1,7 +1,8 @@
 """Corpus-wide assembly: first-wins dedup, import-aware resolution of types and calls, derived edges.
 
 Every lookup is an equi-join and every "first" an explicit ordinal, so results don't depend on partitioning.
-Whether a side is broadcast is left to the planner, which knows its size at run time.
+Lookups are merge joins: the planner's sizes come from the tables that the rows began as, which may be a
+hundredth of what was parsed from them, and a side that is broadcast by them can be more than the driver holds.
 """
 
 from __future__ import annotations
@@ -41,11 +42,11 @@ def import_map(parsed: DataFrame) -> DataFrame:
 def _imported(rows: DataFrame, imports: DataFrame, owner: str, simple: str) -> DataFrame:
     """Left-join the imported name of column ``simple`` in the file of ``owner`` as ``imported``."""
     table = imports.select(F.col("id").alias(owner), F.col("simple").alias(simple), F.col("fqcn").alias("imported"))
-    return rows.join(table, [owner, simple], "left")
+    return rows.join(table.hint("merge"), [owner, simple], "left")
 
 
 def in_corpus(candidates: DataFrame, ids: DataFrame, column: str = "target") -> DataFrame:
-    return candidates.join(ids.select(F.col("id").alias(column)).distinct(), column, "left_semi")
+    return candidates.join(ids.select(F.col("id").alias(column)).distinct().hint("merge"), column, "left_semi")
 
 
 def _edges(rows: DataFrame, kind: str, **more: Column) -> DataFrame:
@@ -92,24 +93,27 @@ def relations(parsed: DataFrame, ids: DataFrame, imports: DataFrame) -> DataFram
     return _edges(first.select(F.col("id").alias("source"), "target", "cardinality", "o.file_ord", (F.lit(_AFTER) + 1 + F.col("o.k")).alias("edge_ord")), "relation", cardinality=F.col("cardinality"))
 
 
-def resolve_calls(calls: DataFrame, fields: DataFrame, parameters: DataFrame, methods: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, fields: DataFrame, parameters: DataFrame | None, methods: DataFrame, imports: DataFrame) -> DataFrame:
     """Calls with their targets: one row per overload, or one with a null target where none is known.
 
     ``calls(source, raw_call_expr, ..)``, ``fields(owner, name, type, ord)``, ``parameters(method, name, type, ord)``,
     ``methods(owner, name, method)``, ``imports(id, simple, fqcn)``. The owner of a call is its own type, a
     capitalised name by import, a field's type, or a parameter's type, in this order; a field whose type isn't
-    imported ends the search, which is why this is a CASE and not a coalesce.
+    imported ends the search, which is why this is a CASE and not a coalesce. Without parameters they are None,
+    which saves a shuffle of the calls.
     """
     first_field = fields.groupBy(F.col("owner"), F.col("name").alias("var")).agg(F.min_by("type", "ord").alias("field_type"))
-    first_parameter = parameters.groupBy(F.col("method").alias("source"), F.col("name").alias("var")).agg(F.min_by("type", "ord").alias("parameter_type"))
     rows = calls.withColumns({"owner": F.substring_index("source", "#", 1), "var": callee("raw_call_expr"), "called": called_method("raw_call_expr")})
-    rows = rows.join(first_field, ["owner", "var"], "left").join(first_parameter, ["source", "var"], "left")
-    upper = starts_upper("var")
-    simple = F.when(upper, F.col("var")).when(F.col("field_type").isNotNull(), F.col("field_type")).otherwise(F.col("parameter_type"))
+    rows = rows.join(first_field.hint("merge"), ["owner", "var"], "left")
+    simple = F.when(starts_upper("var"), F.col("var")).when(F.col("field_type").isNotNull(), F.col("field_type"))
+    if parameters is not None:
+        first_parameter = parameters.groupBy(F.col("method").alias("source"), F.col("name").alias("var")).agg(F.min_by("type", "ord").alias("parameter_type"))
+        rows = rows.join(first_parameter.hint("merge"), ["source", "var"], "left")
+        simple = simple.otherwise(F.col("parameter_type"))
     rows = _imported(rows.withColumn("simple_type", simple), imports, "owner", "simple_type")
     rows = rows.withColumn("callee_type", F.when(F.col("var").isNull(), F.col("owner")).otherwise(F.col("imported")))
     known = methods.select(F.col("owner").alias("callee_type"), F.col("name").alias("called"), F.col("method").alias("resolved")).distinct()
-    return rows.join(known, ["callee_type", "called"], "left").select(*calls.columns, "resolved")
+    return rows.join(known.hint("merge"), ["callee_type", "called"], "left").select(*calls.columns, "resolved")
 
 
 def promote_calls(edges: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:

@@ -375,3 +375,15 @@ def test_parts_are_dealt_to_many_tasks(spark):
 
     assert queries.spread(spark.range(100_000, numPartitions=1).toDF("k")).rdd.getNumPartitions() == 12
     assert queries.spread(spark.range(0).toDF("k")).count() == 0
+
+
+def test_lookups_are_not_broadcast_by_the_size_of_their_table(spark):
+    small = parsed(spark, {"id": A, "imports": [B], "fields": [field(A, "b", "B", annotations=["OneToMany"])], "methods": [method(A, "doIt", ["b.process()"])]}, {"id": B, "methods": [method(B, "process")]})
+    assert "Broadcast" not in graph_of(small)[1]._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_calls_without_parameters(spark):
+    frame = lambda row, schema: spark.createDataFrame([row], schema)
+    calls = frame(("a.A#f()", "b.g(1)"), "source string, raw_call_expr string")
+    rest = frame(("a.A", "b", "B", 0), "owner string, name string, type string, ord long"), frame(("a.B", "g", "a.B#g(int)"), "owner string, name string, method string"), frame(("a.A", "B", "a.B"), "id string, simple string, fqcn string")
+    assert [r.resolved for r in assemble.resolve_calls(calls, rest[0], None, *rest[1:]).collect()] == ["a.B#g(int)"]
