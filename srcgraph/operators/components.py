@@ -41,15 +41,17 @@ def method_links(methods: DataFrame) -> DataFrame:
     rather than all to each other, which leaves the components as they are.
     """
     uses = methods.select("class_id", "m", F.explode("accessed_fields").alias("field"))
-    first = uses.groupBy("class_id", "field").agg(F.min("m").alias("a"))
+    first = uses.groupBy("class_id", "field").agg(F.min("m").alias("a"), F.max("m").alias("last")).where("a <> last").drop("last")
     shared = uses.join(first, ["class_id", "field"]).where("m <> a").select("class_id", "a", F.col("m").alias("b"))
     calls = methods.select("class_id", F.col("m").alias("a"), F.explode("callees").alias("name"))
     named = calls.join(methods.select("class_id", "name", F.col("m").alias("b")), ["class_id", "name"]).where("a <> b").select("class_id", "a", "b")
     return shared.union(named).distinct()
 
 
-#: A class with up to so many distinct methods is closed by one union-find; more go through ``spread``.
+#: A class with up to so many distinct methods, and names of fields and callees in them, is closed by one
+#: union-find, which holds them all in a worker; larger ones go through ``spread``.
 MOST_METHODS = 5000
+MOST_NAMES = 100_000
 
 
 def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,16 +86,17 @@ def class_components(methods: DataFrame) -> DataFrame:
     tidy = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, empty)))).alias(c)
     alike = methods.select("class_id", F.coalesce("name", F.lit("")).alias("name"), tidy("accessed_fields"), tidy("callees")).groupBy("class_id", "name", "accessed_fields", "callees").agg(F.count("*").alias("n"))
     alike = alike.withColumn("m", F.struct("class_id", F.xxhash64("name", "accessed_fields", "callees").alias("h"), "name"))
-    sizes = alike.groupBy("class_id").agg(F.sum("n").alias("methods"), F.count("*").alias("vertices"))
+    sizes = alike.groupBy("class_id").agg(F.sum("n").alias("methods"), F.count("*").alias("vertices"), F.sum(F.size("accessed_fields") + F.size("callees")).alias("names"))
+    fits = (F.col("vertices") <= MOST_METHODS) & (F.col("names") <= MOST_NAMES)
     called = alike.select("class_id", F.explode("callees").alias("name"), F.col("m").alias("by")).groupBy("class_id", "name").agg(F.count_distinct("by").alias("callers"))
     named = alike.select("class_id", F.col("name").alias("callee")).distinct()
     calling = alike.select("class_id", "m", F.explode("callees").alias("callee")).join(named, ["class_id", "callee"]).select("m").distinct().withColumn("calls", F.lit(True))
     apart = alike.where("n > 1 AND size(accessed_fields) = 0").join(called, ["class_id", "name"], "left").join(calling, "m", "left").where("callers IS NULL AND calls IS NULL")
     extra = apart.groupBy("class_id").agg(F.sum(F.col("n") - 1).alias("extra"))
-    small = alike.join(sizes.where(F.col("vertices") <= MOST_METHODS).select("class_id"), "class_id", "left_semi")
+    small = alike.join(sizes.where(fits).select("class_id"), "class_id", "left_semi")
     kind = methods.schema["class_id"].dataType.simpleString()
     found = small.select("class_id", "name", "accessed_fields", "callees").groupBy("class_id").applyInPandas(_union_find, f"class_id {kind}, found long")
-    large = alike.join(sizes.where(F.col("vertices") > MOST_METHODS).select("class_id"), "class_id", "left_semi")
+    large = alike.join(sizes.where(~fits).select("class_id"), "class_id", "left_semi")
     if not large.isEmpty():
         low = spread(method_links(large).select("a", "b"), large.select(F.col("m").alias("id")))
         found = found.union(low.select("id.class_id", "component").groupBy("class_id").agg(F.count_distinct("component")))

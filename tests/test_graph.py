@@ -387,3 +387,14 @@ def test_calls_without_parameters(spark):
     calls = frame(("a.A#f()", "b.g(1)"), "source string, raw_call_expr string")
     rest = frame(("a.A", "b", "B", 0), "owner string, name string, type string, ord long"), frame(("a.B", "g", "a.B#g(int)"), "owner string, name string, method string"), frame(("a.A", "B", "a.B"), "id string, simple string, fqcn string")
     assert [r.resolved for r in assemble.resolve_calls(calls, rest[0], None, *rest[1:]).collect()] == ["a.B#g(int)"]
+
+
+def test_classes_of_many_names_are_not_gathered(spark, monkeypatch):
+    rows = spark.createDataFrame([("C", f"m{k}", [f"f{k // 2}", f"g{k}"], []) for k in range(20)] + [("D", "m", ["f"], [])], "class_id string, name string, accessed_fields array<string>, callees array<string>")
+    gathered = lambda df: "FlatMapGroupsInPandas" in df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(components, "MOST_NAMES", 30)
+    seen = []
+    spread = components.spread
+    monkeypatch.setattr(components, "spread", lambda edges, vertices: seen.append(vertices.count()) or spread(edges, vertices))
+    got = components.class_components(rows)
+    assert sorted(map(tuple, got.collect())) == [("C", 20, 10), ("D", 1, 1)] and seen == [20] and gathered(got)
