@@ -377,9 +377,10 @@ def test_parts_are_dealt_to_many_tasks(spark):
     assert queries.spread(spark.range(0).toDF("k")).count() == 0
 
 
-def test_lookups_are_not_broadcast_by_the_size_of_their_table(spark):
+def test_lookups_are_not_broadcast_by_the_size_of_their_table(spark, tmp_path):
     small = parsed(spark, {"id": A, "imports": [B], "fields": [field(A, "b", "B", annotations=["OneToMany"])], "methods": [method(A, "doIt", ["b.process()"])]}, {"id": B, "methods": [method(B, "process")]})
-    assert "Broadcast" not in graph_of(small)[1]._jdf.queryExecution().sparkPlan().toString()
+    small.write.parquet(f"{tmp_path}/parsed")
+    assert "Broadcast" not in graph_of(spark.read.parquet(f"{tmp_path}/parsed"))[1]._jdf.queryExecution().sparkPlan().toString()
 
 
 def test_calls_without_parameters(spark):
