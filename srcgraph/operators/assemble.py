@@ -131,8 +131,18 @@ def promote_calls(edges: DataFrame, nodes: DataFrame, imports: DataFrame) -> Dat
     return edges.where("kind <> 'calls_unresolved'").unionByName(unresolved).unionByName(_edges(resolved.withColumn("edge_ord", F.col("edge_ord") + 2 * _AFTER), "calls_resolved"))
 
 
-def assemble(parsed: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the whole corpus from the fragments of its files."""
+def assemble(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the whole corpus from the fragments of its files.
+
+    With ``kinds`` only those edges are made, and lookups that no other kind needs: a filter on the kind afterwards
+    doesn't save them, as the planner keeps joins of rows that come out of an empty list.
+    """
     imports = import_map(parsed)
-    every = edges.unionByName(depends_on(parsed, nodes, imports)).unionByName(relations(parsed, nodes, imports))
-    return dedup_nodes(nodes), dedup_edges(promote_calls(every, nodes, imports))
+    wanted = lambda *own: not kinds or any(k in kinds for k in own)
+    if wanted("depends_on"):
+        edges = edges.unionByName(depends_on(parsed, nodes, imports))
+    if wanted("relation"):
+        edges = edges.unionByName(relations(parsed, nodes, imports))
+    if wanted("calls_resolved", "calls_unresolved"):
+        edges = promote_calls(edges, nodes, imports)
+    return dedup_nodes(nodes), dedup_edges(edges.where(F.col("kind").isin(kinds)) if kinds else edges)

@@ -12,12 +12,13 @@ from srcgraph.operators import assemble, build, policy, quality, select
 log = logging.getLogger("srcgraph")
 
 
-def graph_of(parsed: DataFrame, modules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of parsed files. Building is narrow; only dedup and lookups of the assembly shuffle."""
-    nodes, edges = build.nodes(parsed), build.edges(parsed)
+def graph_of(parsed: DataFrame, modules: DataFrame | None = None, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of parsed files, with edges of some kinds only if they are named. Building is narrow; only
+    dedup and lookups of the assembly shuffle."""
+    nodes, edges = build.nodes(parsed), build.edges(parsed, kinds)
     if modules is not None:
         nodes = nodes.unionByName(build.module_nodes(modules))
-    return assemble.assemble(parsed, nodes, edges)
+    return assemble.assemble(parsed, nodes, edges, kinds)
 
 
 def selection_of(nodes: DataFrame, cap: int = select.CAP, mapping: dict[str, str] | None = None) -> DataFrame:

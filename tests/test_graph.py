@@ -383,6 +383,18 @@ def test_lookups_are_not_broadcast_by_the_size_of_their_table(spark, tmp_path):
     assert "Broadcast" not in graph_of(spark.read.parquet(f"{tmp_path}/parsed"))[1]._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_edges_of_some_kinds_need_no_other_lookups(spark, tmp_path):
+    b = {"id": B, "methods": [method(B, "process"), method(B, "make", is_bean_factory=True)]}
+    parsed(spark, {"id": A, "imports": [B], "fields": [field(A, "b", "B", annotations=["OneToMany"], is_autowired=True)], "methods": [method(A, "doIt", ["b.process()", "c.f()"])]}, b).write.parquet(f"{tmp_path}/parsed")
+    rows = spark.read.parquet(f"{tmp_path}/parsed")
+    every = graph_of(rows)[1].collect()
+    for kinds, joins in ((["contains"], 0), (["autowires", "bean_factory"], 0), (["relation"], 2), (["depends_on"], 3), (["calls_resolved"], 4), (["calls_unresolved", "relation"], 6)):
+        own = graph_of(rows, kinds=kinds)[1]
+        want = sorted(repr(r) for r in every if r.kind in kinds)
+        assert sorted(map(repr, own.collect())) == want and want, kinds
+        assert sum(" Join " in x or "- Join" in x for x in own._jdf.queryExecution().optimizedPlan().toString().splitlines()) == joins, kinds
+
+
 def test_calls_without_parameters(spark):
     frame = lambda row, schema: spark.createDataFrame([row], schema)
     calls = frame(("a.A#f()", "b.g(1)"), "source string, raw_call_expr string")
