@@ -370,6 +370,40 @@ def test_scanned_files_keep_no_text_and_come_in_small_batches(spark):
     assert [x for b in out for x in b.column("ast").to_pylist()] == [{"id": "A"}, None] * 300
 
 
+def test_no_cycles_are_searched_for_while_files_are_scanned(spark, monkeypatch):
+    import gc
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    files, during = spark.createDataFrame([], "path string, text string, ast struct<id: string>"), []
+    monkeypatch.setattr(java_scan, "scan", lambda path, source: during.append(gc.isenabled()) or {"id": path})
+    batch = pa.RecordBatch.from_pydict({"path": ["A.java"] * 300, "text": ["class A { }"] * 300})
+    after = [gc.isenabled() for _ in java_scan._scan_batches(to_arrow_schema(files.schema), 30.0)(iter([batch]))]
+    assert during == [False] * 300 and after == [True, True]
+
+
+def test_only_columns_asked_for_leave_the_worker(spark):
+    files = spark.createDataFrame([("A.java", "class A {\n    private int a;\n    int f() { return a; }\n}\n"), ("B.java", "class B {\n    private int b = ((;\n}\n"), ("C.java", None)], "path string, text string")
+    some = java_scan.extract(files, columns=["id", "fields"])
+    assert sorted(map(str, some.collect())) == sorted(map(str, java_scan.extract(files).select("id", "fields").collect())) and some.columns == ["id", "fields"]
+    assert "accessed_fields" not in some._jdf.queryExecution().optimizedPlan().toJSON()
+
+
+@pytest.mark.parametrize("source", ["", " \n", "a", "é$ ɑ_1 _é a$b $1", "x//y\n/*z*/.5e+3...;", 'c("\\"", \'"\') + """a"b""";', "a #b", 'a "b', "/* a", "a\u000bb", "1..2", "٣x"])
+def test_pieces_are_the_whole_source(source):
+    pieces = java_scan._PIECE.findall(source)
+    assert "".join(pieces) == source
+    kinds = [java_scan._KINDS[p] for p in pieces]
+    assert None not in kinds[:-1]
+    if None in kinds:
+        with pytest.raises(java_scan.ScanError, match=f"unreadable at {source.index(pieces[-1])}"):
+            java_scan.Java(source)
+    else:
+        j = java_scan.Java(source)
+        assert [source[a : a + len(x)] for a, x in zip(j.at, j.t, strict=True)] == j.t == [p for p, kind in zip(pieces, kinds, strict=True) if kind]
+
+
 def test_parts_are_dealt_to_many_tasks(spark):
     from srcgraph import queries
 
